@@ -8,7 +8,8 @@ bits; a ninth holds eight bits. Negative numbers are stored as complements.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
@@ -73,43 +74,44 @@ def decode_bytes(raw: bytes) -> list[int]:
     return found
 
 
-@F.pandas_udf(BinaryType())
-def varint_encode(x: pd.Series) -> pd.Series:
-    some = x.notna().to_numpy()
-    out, offsets = encode_array(x[some].to_numpy(np.int64))
-    raw = out.tobytes()
-    result = np.full(len(x), None, object)
-    result[some] = [raw[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-    return pd.Series(result)
+# Arrow arrays, not pandas series: a null among bigints would make those floating-point numbers.
 
 
-@F.pandas_udf(LongType())
-def varint_decode(x: pd.Series) -> pd.Series:
-    some = x.notna().to_numpy()
-    result = pd.array(np.zeros(len(x), np.int64), dtype="Int64")
-    result[~some] = pd.NA
-    flat = decode_bytes(b"".join(x[some]))
-    if len(flat) != some.sum():
+def _binary(out: np.ndarray, ends: np.ndarray, valid: pa.Array) -> pa.Array:
+    """Slices of `out` that end at `ends`; where not `valid`, null."""
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int64))
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, offsets.buffers()[1], pa.py_buffer(out.tobytes())])
+    return pc.if_else(valid, made, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def varint_encode(x: pa.Array) -> pa.Array:
+    out, offsets = encode_array(x.drop_null().to_numpy(zero_copy_only=False))
+    valid = x.is_valid()
+    return _binary(out, offsets[np.cumsum(valid.to_numpy(zero_copy_only=False))], valid)
+
+
+@F.arrow_udf(LongType())
+def varint_decode(x: pa.Array) -> pa.Array:
+    values = x.drop_null().to_pylist()
+    flat = decode_bytes(b"".join(values))
+    if len(flat) != len(values) or not all(values):
         raise ValueError("a value isn't exactly one varint")
-    result[some] = np.array(flat, np.int64)
-    return pd.Series(result)
+    at = np.cumsum(x.is_valid().to_numpy(zero_copy_only=False)) - 1
+    return pc.if_else(x.is_valid(), pa.array(np.array([*flat, 0], np.int64)[at]), pa.scalar(None, pa.int64()))
 
 
-@F.pandas_udf(BinaryType())
-def varint_encode_block(x: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def varint_encode_block(x: pa.Array) -> pa.Array:
     """The varints of an array, one after the other."""
-    lists = [None if v is None else np.asarray(v, np.int64) for v in x]
-    out, offsets = encode_array(np.concatenate([v for v in lists if v is not None] or [np.zeros(0, np.int64)]))
-    raw, at, result = out.tobytes(), 0, []
-    for v in lists:
-        result.append(None if v is None else raw[offsets[at] : offsets[at + len(v)]])
-        at += 0 if v is None else len(v)
-    return pd.Series(result, dtype=object)
+    out, offsets = encode_array(x.flatten().to_numpy(zero_copy_only=False))
+    sizes = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return _binary(out, offsets[np.cumsum(sizes)], x.is_valid())
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def varint_decode_block(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else decode_bytes(v) for v in x], dtype=object)
+@F.arrow_udf(ArrayType(LongType()))
+def varint_decode_block(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else decode_bytes(v) for v in x.to_pylist()], pa.list_(pa.int64()))
 
 
 def delta(xs: Column) -> Column:
@@ -141,10 +143,7 @@ def fnv1a_array(texts: list[bytes]) -> np.ndarray:
     return h.view(np.int64)
 
 
-@F.pandas_udf(LongType())
-def fnv_hash(x: pd.Series) -> pd.Series:
-    some = x.notna().to_numpy()
-    result = pd.array(np.zeros(len(x), np.int64), dtype="Int64")
-    result[~some] = pd.NA
-    result[some] = fnv1a_array([v.encode() for v in x[some]])
-    return pd.Series(result)
+@F.arrow_udf(LongType())
+def fnv_hash(x: pa.Array) -> pa.Array:
+    hashes = fnv1a_array([(v or "").encode() for v in x.to_pylist()])
+    return pc.if_else(x.is_valid(), pa.array(hashes), pa.scalar(None, pa.int64()))

@@ -58,7 +58,7 @@ def test_hash_is_that_of_a_loop(texts):
 
 
 def test_hash_of_every_type(spark):
-    from lexaxis.plans.registry import QUERIES
+    import __spark_entry__ as entry
 
-    found = QUERIES["fnv_hash"](spark, "/root/testdata/sf0.001").collect()
+    found = entry.queries()["fnv_hash"](spark, "/root/testdata/sf0.001").collect()
     assert all(r.hash == fnv_slow(r.str.encode()) for r in found)
