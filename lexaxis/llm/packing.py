@@ -27,6 +27,8 @@ CONTEXT = 2048
 ROUNDS = 300
 #: Parts that ranks are counted in; bounds the offset tables, not the rows.
 PARTS = 32
+#: The same for documents of whole contexts, which have but one rank.
+WHOLE_PARTS = 4096
 
 Config = tuple[tuple[int, int], ...]
 
@@ -185,13 +187,13 @@ def pack(docs: DataFrame, context: int = CONTEXT, rounds: int = ROUNDS, id_col:
     * null, empty or blank text: no tokens, hence no piece;
     * very long text: whole contexts of its own, then a rest;
     * repeated rows and null doc_ids: pieces of their own, like any row;
-    * ties: equal lengths are placed in file order;
+    * ties: equal lengths are placed in an order fixed by their place in the files;
     * empty table: an empty result; other columns, of any name, are not read.
     """
     table, rid = numbered(docs)
     words = F.size(F.array_remove(F.split("text", r"\s+"), ""))
-    sized = settled(id_and_text(table, rid, id_col, text_col).select("rid", "doc_id", words.cast("long").alias("tokens"), F.pmod(F.xxhash64("rid"), F.lit(PARTS)).cast("int").alias("part")).where("tokens > 0"))
-    rest = sized.select("rid", "doc_id", F.expr(f"tokens - tokens % {context}").alias("first_token"), F.expr(f"tokens % {context}").alias("tokens"), "part").where("tokens > 0")
+    sized = settled(id_and_text(table, rid, id_col, text_col).select("rid", "doc_id", words.cast("long").alias("tokens"), F.pmod(F.xxhash64("rid"), F.lit(WHOLE_PARTS)).cast("int").alias("part")).where("tokens > 0"))
+    rest = sized.select("rid", "doc_id", F.expr(f"tokens - tokens % {context}").alias("first_token"), F.expr(f"tokens % {context}").alias("tokens"), (F.col("part") % PARTS).alias("part")).where("tokens > 0")
     histogram = {r.tokens: r.n for r in rest.groupBy("tokens").agg(F.count("*").alias("n")).collect()}  # below `context` rows
     run = slots(solve(histogram, context, rounds))
     pieces = _ranked(rest, ["tokens"], F.lit(1)).select("rid", "doc_id", "first_token", "tokens", "rank").mapInArrow(_placed(run), "rid long, doc_id long, first_token long, tokens long, pack_id long")
