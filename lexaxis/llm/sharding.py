@@ -14,7 +14,7 @@ from lexaxis.llm.common import column, fresh, numbered, settled
 
 SHARD_BYTES = 64 << 20
 #: Bounds of the splitter table and the sample; a range may hold several shards.
-MAX_RANGES = 4096
+MAX_RANGES = 1 << 16
 SAMPLES_A_RANGE = 64
 #: A range above this multiple of the shard size is overfull.
 SLACK = 1.25
