@@ -25,6 +25,9 @@ from lexaxis.llm.common import column, fresh, numbered, scratch, settled
 from lexaxis.llm.cuckoo import CuckooFilter
 
 SHARDS = 64
+MAX_SHARDS = 1 << 18
+#: Text of one shard; more text than SHARDS such is cut into more shards.
+SHARD_BYTES = 64 << 20
 _OWNER = "struct<none:boolean,doc_id:bigint,batch:int,rid:bigint,line_no:int>"
 
 
@@ -188,7 +191,15 @@ class LineStore:
         return self.occurrences().groupBy("line").agg(F.min("owner").alias("owner")).select("line", "owner.doc_id", "owner.batch", "owner.rid", "owner.line_no")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """`docs` as the first batch of a new LineStore in the shared folder; the cases are those of LineStore.insert()."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+    """`docs` as the first batch of a new LineStore in the shared folder; the cases are those of LineStore.insert().
+
+    Without `shards`, their number follows the size of `docs`, so that a filter fits a task.
+    """
     spark = docs.sparkSession
+    if shards is None:
+        size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if size >= 1 << 60:  # unknown
+            size = docs.agg(F.sum(F.octet_length(column(docs, text_col)))).first()[0] or 0
+        shards = max(SHARDS, min(MAX_SHARDS, size // SHARD_BYTES))
     return LineStore(spark, scratch(spark, "lines"), shards).insert(docs, id_col, text_col)
