@@ -179,3 +179,16 @@ def test_opened_by_name_and_uuid(spark):
     assert len(again["tokens"]) == again.table("tokens").count()
     with pytest.raises(CorpusError):
         again["none"]
+
+
+def test_calls_are_logged_and_rows_counted_on_the_way(spark, caplog):
+    from lexaxis.plans.observe import counted, logged
+
+    @logged
+    def some(n, step=1):
+        return spark.range(0, n, step)
+
+    with caplog.at_level("DEBUG", logger="lexaxis.queries"):
+        df, seen = counted(some(10, step=2))
+    assert df.count() == 5 and seen.get["rows"] == 5
+    assert "some(10, step=2) -> struct<id:bigint>" in caplog.text and "Physical Plan" in caplog.text
