@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexaxis.llm.common import column, id_and_text, numbered
@@ -156,17 +156,31 @@ def noise(windows: int, seed: int = 0) -> np.ndarray:
     return np.array(made, np.uint8).reshape(-1, WINDOW)
 
 
+def _sample(part: DataFrame, text: Column, lang: Column, mark: Column, place: Column, max_docs: int, max_chars: int) -> list:
+    cut = part.select(lang.cast("string").alias("lang"), text.substr(place.cast("int"), F.lit(max_chars)).alias("part"), mark.alias("mark"))
+    return cut.orderBy("mark", "part", "lang").limit(max_docs).collect()
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> ByteCNN | None:
     """A network for the languages that `docs` is labelled with, or None if no row is labelled.
 
     The sample is bounded by `max_docs` labelled rows, those least by a hash of
     the text, and by an excerpt of `max_chars` of each at a place chosen by hash.
-    Rows without label or text don't count.
+    Rows without label or text don't count. They are counted first, so that only
+    a few times `max_docs` of them, the least by hash, are sent and sorted.
     """
     text, lang = column(docs, text_col), column(docs, lang_col)
     mark = F.xxhash64(text)
     place = F.pmod(mark, F.greatest(F.length(text) - max_chars, F.lit(1))) + 1
-    rows = docs.where(lang.isNotNull() & (F.length(F.trim(text)) > 0)).select(lang.cast("string").alias("lang"), text.substr(place.cast("int"), F.lit(max_chars)).alias("part"), mark.alias("mark")).orderBy("mark", "part", "lang").limit(max_docs).collect()
+    labelled = docs.where(lang.isNotNull() & text.rlike("[^ ]"))
+    n, share = labelled.count(), 4
+    while True:
+        below = (1 << 64) * share * max_docs // max(n, 1) - (1 << 63)  # the hashes are even over 64 bits
+        part = labelled if below >= 1 << 63 else labelled.where(mark < F.lit(below))
+        rows = _sample(part, text, lang, mark, place, max_docs, max_chars)
+        if len(rows) >= min(n, max_docs) or below >= 1 << 63:
+            break
+        share *= 16  # few different texts: copies have one hash
     if not rows:
         return None
     labels = sorted({r.lang for r in rows})
