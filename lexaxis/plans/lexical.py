@@ -150,7 +150,7 @@ def lex_get(c):
     return lexicon.get(c.table("lexicon"), 42).select(*_LEX)
 
 
-@query(f"select rank, id, str from lex join (values {_IDS}) as w(rank, id) using (id)")
+@query(f"select rank::bigint as rank, id, str from lex join (values {_IDS}) as w(rank, id) using (id)")
 def lex_get_all(c):
     return lexicon.get_all(c.table("lexicon"), IDS)
 
