@@ -11,7 +11,7 @@ from lexaxis.sources.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_opened: dict[tuple, str] = {}
+_opened: dict[tuple, corpus.Corpus] = {}
 
 #: Axis, lexicon and layers, for the oracle.
 CTE = r"""
@@ -51,8 +51,8 @@ def encoded(spark: SparkSession, sf_dir: str) -> corpus.Corpus:
         at = scratch(spark, "corpus")
         made = corpus.encode(spark, sf_dir, at)
         vrt.write(vrt.decode(made.table("tokens"), made.table("seg_doc"), made.table("seg_line")), f"{at}/vrt")
-        _opened[key] = at
-    return corpus.Corpus.open(spark, _opened[key])
+        _opened[key] = made
+    return _opened[key]
 
 
 def query(sql: str | None = None, plain: bool = False):
