@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,17 +146,23 @@ def encode(spark: SparkSession, sf_dir: str, path: str) -> Corpus:
     """Encodes the tables in `sf_dir` as a corpus in `path`; the manifest is written last."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     docs = read("documents")
-    _sorted_write(axis.document_spans(docs), f"{path}/seg_doc", "start")
-    spans = spark.read.parquet(f"{path}/seg_doc")
-    _sorted_write(axis.type_table(docs, spans), f"{path}/lexicon", "id")
-    _sorted_write(axis.with_ids(axis.tokens(docs, spans), spark.read.parquet(f"{path}/lexicon")), f"{path}/tokens", "cpos")
-    tokens = spark.read.parquet(f"{path}/tokens")
-    _sorted_write(tokens.select("word_id", "cpos"), f"{path}/postings", "word_id", "cpos")
-    _sorted_write(axis.line_spans(tokens), f"{path}/seg_line", "start")
-    _sorted_write(axis.document_tags(spans, read("labels")), f"{path}/doc_tags", "seg_id")
-    _sorted_write(axis.turn_pointers(read("conversations")), f"{path}/turns", "cpos")
-    _sorted_write(axis.row_axis(read("events").select("event_id", "event_type", "user_id"), "event_id"), f"{path}/events", "cpos")
-    _sorted_write(axis.row_axis(read("pages").select("page_id", "url"), "page_id"), f"{path}/pages", "cpos")
+    with ThreadPoolExecutor(8) as pool:  # tables that don't need each other are written side by side
+        write = lambda df, name, *by: pool.submit(_sorted_write, df, f"{path}/{name}", *by)
+        waiting = [
+            write(axis.turn_pointers(read("conversations")), "turns", "cpos"),
+            write(axis.row_axis(read("events").select("event_id", "event_type", "user_id"), "event_id"), "events", "cpos"),
+            write(axis.row_axis(read("pages").select("page_id", "url"), "page_id"), "pages", "cpos"),
+        ]
+        write(axis.document_spans(docs), "seg_doc", "start").result()
+        spans = spark.read.parquet(f"{path}/seg_doc")
+        waiting.append(write(axis.document_tags(spans, read("labels")), "doc_tags", "seg_id"))
+        write(axis.type_table(docs, spans), "lexicon", "id").result()
+        write(axis.with_ids(axis.tokens(docs, spans), spark.read.parquet(f"{path}/lexicon")), "tokens", "cpos").result()
+        tokens = spark.read.parquet(f"{path}/tokens")
+        waiting.append(write(tokens.select("word_id", "cpos"), "postings", "word_id", "cpos"))
+        waiting.append(write(axis.line_spans(tokens), "seg_line", "start"))
+        for w in waiting:
+            w.result()
     rows = []
     for layer, (base, variables) in LAYOUT.items():
         n, uid = spark.read.parquet(f"{path}/{layer}").count(), str(uuid.uuid5(uuid.NAMESPACE_URL, f"{path}/{layer}"))
