@@ -147,7 +147,8 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def index_warc(files: DataFrame) -> DataFrame:
     """The index (file, offset, length, url, digest, page_id) of the .warc.gz files named in column `file`."""
-    return files.select("file").repartition("file").mapInArrow(_index_batches, INDEX)
+    # a row stands for a file: the number of tasks is said, lest adaptive execution judge it by the rows' bytes
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(_index_batches, INDEX)
 
 
 def coalesced(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -200,7 +201,8 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def read_records(selected: DataFrame) -> DataFrame:
     """(page_id, url, html, digest) of the records in `selected`, rows of an index; digests are verified."""
     part = selected.select("file", "offset", "length", F.floor(F.col("offset") / TASK_BYTES).alias("part"))
-    return part.repartition("file", "part").sortWithinPartitions("file", "offset").drop("part").mapInArrow(_read_batches, "page_id long, url string, html string, digest string")
+    tasks = part.agg(F.approx_count_distinct(F.struct("file", "part"))).first()[0]  # said, as in index_warc()
+    return part.repartition(max(1, tasks), "file", "part").sortWithinPartitions("file", "offset").drop("part").mapInArrow(_read_batches, "page_id long, url string, html string, digest string")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
