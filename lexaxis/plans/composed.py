@@ -10,9 +10,8 @@ from lexaxis.sources import vrt
 
 #: Regular expressions that match as a whole; the same text means the same in Spark and in the oracle.
 SUITE = [
-    "be.+", "...+able", "(le|la|les)", ".{3,}(ness(es)?|it(y|ies)|(tion|ment)s?)", ".+tio.+", "[^!-~]+", ".+(ung|heit|keit)", ".*[äöü].*", r"\p{Lu}.*", "the(re|n)?",
-    ".*(er.+er|en.+en).*", "[0-9]+", ".*tion[.,]", "ziggurat", "imp.ss.ble", "colou?r", "(work|works|worked|working)", "super.+listic.+ous", "show(s|ed|n|ing)?", "(.*lier|.*liest)",
-    ".*(lier|liest)", ".*li(er|est)", ".*lie(r|st)", ".*(rr.+rr|ss.+ss|tt.+tt).*y", "(un)?easy", ".*a{3,}.*", "([aeiou][bcdfghjklmnpqrstvwxyz]{2}){4,}", r"\p{Lu}{6,10}",
+    "an.+", "(der|die|das)", ".+able", ".+(heit|ness|tion)s?", ".*io.*", ".+(ung|heit|keit)", r"\p{Lu}.*", ".*[äöü].*", "the(re|n)?", "[0-9]+",
+    ".*(er.+er|en.+en).*", ".*tion[.,]", "c.t", "harbou?r", "(sing|sang|sung)", ".*(st){2,}.*", "[aeiou]{3,}", r"\p{Lu}{2,4}", "(.*heit|.*heiten)", ".*é.+",
 ]
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
 _RE = ".+(ung|heit|keit)"
