@@ -6,12 +6,15 @@ there are. A *configuration* is a multiset of lengths that fits a context. The
 linear program - cover each length's count with as few configurations as
 possible - is solved by multiplicative weights: each length has a weight that
 falls as it is covered, and a knapsack dynamic program finds the configuration
-of greatest weight. The solution is rounded down to whole contexts; what that
-leaves over goes in by best fit decreasing, length by length.
+of greatest weight, which is taken a whole number of times. Rounds go on until
+every length is covered, or until the configuration found leaves more than
+the greatest SLACK of a context free; what is then left goes in by best fit decreasing,
+length by length.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from lexaxis.llm.common import bounded, id_and_text, numbered, settled
 
 CONTEXT = 2048
-#: Rounds of multiplicative weights: one configuration each.
+#: A round of multiplicative weights places one configuration, in at most one of so many parts of all contexts.
 ROUNDS = 300
+#: Shares of a context that the program may leave free; it is cut at each, and the one that needs the fewest contexts with its rest counts.
+SLACK = (0.01, 0.005, 0.002, 0.001, 0.0005, 0.0)
 #: Parts that ranks are counted in; bounds the offset tables, not the rows.
 PARTS = 32
 #: The same for documents of whole contexts, which have but one rank.
@@ -34,53 +39,63 @@ Config = tuple[tuple[int, int], ...]
 
 
 def best_configuration(lengths: np.ndarray, weights: np.ndarray, limit: np.ndarray, context: int) -> dict[int, int]:
-    """Indices and numbers of the lengths that fill a context with the greatest weight (unbounded knapsack), cut to `limit` each."""
+    """Indices and numbers of the lengths that fill a context with the greatest weight (unbounded knapsack, ties to greater lengths).
+
+    It is cut to `limit` each; the room that makes goes to the greatest lengths that fit.
+    """
     value = np.zeros(context + 1)
     choice = np.full(context + 1, -1)
+    down, heavy, size = lengths[::-1], weights[::-1], len(lengths)
+    fits = np.searchsorted(lengths, np.arange(context + 1), side="right")
     for c in range(1, context + 1):
-        fits = int(np.searchsorted(lengths, c, side="right"))
         value[c] = value[c - 1]
-        if fits:
-            gain = value[c - lengths[:fits]] + weights[:fits]
+        if fits[c]:
+            gain = value[c - down[size - fits[c] :]] + heavy[size - fits[c] :]
             k = int(gain.argmax())
             if gain[k] > value[c]:
-                value[c], choice[c] = gain[k], k
+                value[c], choice[c] = gain[k], fits[c] - 1 - k
     found: Counter[int] = Counter()
-    c = context
+    c = room = context
     while c > 0:
         k = int(choice[c])
         if k < 0:
             c -= 1
         else:
-            found[k] += 1
             c -= int(lengths[k])
-    return {k: min(n, int(limit[k])) for k, n in found.items() if limit[k] >= 1}
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, context: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional numbers of contexts: an approximate solution of the linear program.
-
-    The numbers are scaled so that no length is covered more than `counts` times
-    over all configurations that hold it and hence round down to a valid packing.
+            if found[k] < limit[k]:
+                found[k] += 1
+                room -= int(lengths[k])
+    k = int(fits[room]) - 1
+    while k >= 0:
+        more = min(int(limit[k]) - found[k], room // int(lengths[k]))
+        found[k] += more
+        room -= more * int(lengths[k])
+        k = min(k, int(fits[room])) - 1
+    return {k: n for k, n in found.items() if n}
+
+
+def program(lengths: np.ndarray, counts: np.ndarray, context: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int, int]]:
+    """(configuration, number of contexts, tokens free in each), round by round: an approximate solution of the linear program in whole numbers.
+
+    No length is covered more than `counts` times. A round places a `rounds`th of
+    all contexts or at least halves what is left of a length, so that rounds are bounded whatever the counts.
     """
-    step = max(1.0, float(lengths @ counts) / context / rounds)
+    step = max(1, int(lengths @ counts) // (context * rounds))
     rate = np.log(len(lengths) + 1) / 4
-    covered = np.zeros(len(lengths))
-    found: dict[Config, float] = {}
-    for _ in range(rounds):
-        left = np.floor(counts - covered)
-        if not (left > 0).any():
-            break
-        weight = np.where(left > 0, np.exp(-rate * covered / counts) * lengths, 0.0)
-        config = best_configuration(lengths, weight, left, context)
-        if not config:
+    left = counts.copy()
+    found = []
+    while (left > 0).any():
+        own = np.flatnonzero(left > 0)
+        weight = np.exp(rate * (left[own] / counts[own] - 1)) * lengths[own]
+        config = {int(own[k]): n for k, n in best_configuration(lengths[own], weight, left[own], context).items()}
+        free = context - sum(int(lengths[k]) * n for k, n in config.items())
+        if free > max(SLACK) * context:
             break
-        many = min(step, *(left[k] / n for k, n in config.items()))
+        many = min(step, *(int(left[k]) // n for k, n in config.items()))
         for k, n in config.items():
-            covered[k] += n * many
-        key = tuple(sorted(config.items()))
-        found[key] = found.get(key, 0.0) + many
-    return [(dict(c), x) for c, x in found.items()]
+            left[k] -= n * many
+        found.append((config, many, free))
+    return found
 
 
 def best_fit_decreasing(lengths: np.ndarray, counts: np.ndarray, context: int) -> list[tuple[Config, int]]:
@@ -121,20 +136,22 @@ def solve(histogram: dict[int, int], context: int, rounds: int = ROUNDS) -> list
     if lengths[0] < 1 or lengths[-1] > context:
         raise ValueError("lengths lie between 1 and the context")
     counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    done: Counter[Config] = Counter()
-    left = counts.copy()
-    for config, x in fractional(lengths, counts, context, rounds):
-        many = int(x)
-        if many:
+    found = program(lengths, counts, context, rounds)
+    plans = []
+    for slack in SLACK:
+        done: Counter[Config] = Counter()
+        left = counts.copy()
+        for config, many, _ in itertools.takewhile(lambda x: x[2] <= slack * context, found):  # noqa: B023
             done[tuple((int(lengths[k]), n) for k, n in sorted(config.items()))] += many
             for k, n in config.items():
                 left[k] -= n * many
-    rest = left > 0
-    for config, many in best_fit_decreasing(lengths[rest], left[rest], context):
-        done[config] += many
-    plain = best_fit_decreasing(lengths, counts, context)
-    # rounding costs at most one context a configuration: with few documents plain best fit can be ahead
-    return list(done.items()) if sum(done.values()) <= sum(n for _, n in plain) else plain
+        rest = left > 0
+        for config, many in best_fit_decreasing(lengths[rest], left[rest], context):
+            done[config] += many
+        plans.append(list(done.items()))
+    # a fallback: plain best fit decreasing counts only where it needs fewer contexts than the program with its rest
+    plans.append(best_fit_decreasing(lengths, counts, context))
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def slots(plan: list[tuple[Config, int]]) -> dict[str, np.ndarray]:

@@ -71,6 +71,18 @@ def test_linear_program_beats_best_fit_where_that_is_known_to_be_bad():
     assert sum(n for _, n in plan) == 60
 
 
+def test_program_covers_nearly_all_and_its_packs_are_returned():
+    random = np.random.default_rng(3)
+    sizes, n = np.unique(np.clip(random.lognormal(4, 1, 60_000).astype(np.int64), 1, 256), return_counts=True)
+    found = packing.program(sizes, n, 256)
+    covered = sum(many * (256 - free) for _, many, free in found)
+    assert covered > 0.9 * (sizes @ n)
+    plan = packing.solve(dict(zip(sizes.tolist(), n.tolist(), strict=True)), 256)
+    assert sum(many * size * k for config, many in plan for size, k in config) == sizes @ n
+    own = {tuple((int(sizes[k]), c) for k, c in sorted(config.items())) for config, _, _ in found}
+    assert sum(many for config, many in plan if config in own) > 0.5 * sum(many for _, many in plan)
+
+
 # -- WARC ---------------------------------------------------------------------------------------
 
 
