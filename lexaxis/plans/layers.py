@@ -12,6 +12,11 @@ from lexaxis.sources import axis
 _SEG = ["seg_id", "start", "end"]
 
 
+def _start_flags(c, tokens):
+    starts = c.table("seg_line").select(F.col("start").alias("cpos"), F.lit(True).alias("hit"))
+    return tokens.select("cpos").join(starts, "cpos", "left").select("cpos", F.coalesce("hit", F.lit(False)).alias("at_start"))
+
+
 @query('select seg_id, "start", "end" from ln where seg_id = 17')
 def seg_get(c):
     return c.table("seg_line").where("seg_id = 17").select(*_SEG)
@@ -56,9 +61,13 @@ def seg_overlaps(c):
 
 @query('select cpos, cpos in (select "start" from ln) as at_start from tok where word_id < 20')
 def seg_start_flags(c):
-    points = c.table("tokens").where("word_id < 20").select("cpos")
-    starts = c.table("seg_line").select(F.col("start").alias("cpos"), F.lit(True).alias("hit"))
-    return points.join(starts, "cpos", "left").select("cpos", F.coalesce("hit", F.lit(False)).alias("at_start"))
+    return _start_flags(c, c.table("tokens").where("word_id < 20"))
+
+
+@query('select cpos, cpos in (select "start" from ln) as at_start from tok')
+def seg_start_flags_all(c):
+    """The same for every position."""
+    return _start_flags(c, c.table("tokens"))
 
 
 @query('select cpos, cast(1 + case when cpos = "start" then 2 else 0 end + case when cpos = "end" - 1 then 4 else 0 end as integer) as flags from tok join ln on tok.doc_id = ln.doc_id and tok.line_no = ln.line_no')

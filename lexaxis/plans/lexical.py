@@ -200,6 +200,12 @@ def cl_id2str(c):
     return c.table("lexicon").where("id < 100").select("id", "str")
 
 
+@query("select id, str from lex")
+def cl_id2str_all(c):
+    """The same for every type."""
+    return c.table("lexicon").select("id", "str")
+
+
 @query("select id, cast(strlen(str) as integer) as bytes from lex")
 def cl_id2strlen(c):
     return c.table("lexicon").select("id", F.octet_length("str").alias("bytes"))

@@ -21,3 +21,11 @@ def test_every_query_but_the_wrapping_hash_has_sql():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, name):
     assert oracle.rows_of(QUERIES[name](spark, oracle.DATA)) == oracle.sql_rows(ORACLES[name])
+
+
+def test_flags_of_all_positions_and_strings_of_all_types(spark):
+    freq = QUERIES["type_frequency"](spark, oracle.DATA).agg({"freq": "sum", "word_id": "count"}).first()
+    assert QUERIES["seg_start_flags_all"](spark, oracle.DATA).count() == freq["sum(freq)"]
+    assert QUERIES["cl_id2str_all"](spark, oracle.DATA).count() == freq["count(word_id)"]
+    for cut in ("seg_start_flags", "cl_id2str"):
+        assert QUERIES[cut](spark, oracle.DATA).count() < QUERIES[f"{cut}_all"](spark, oracle.DATA).count()
