@@ -5,7 +5,8 @@ A LineStore keeps, in a folder that all executors share, append-only tables:
 * occurrences: every line that an inserted document has (digest, document, line number);
 * counts: reference-count changes by line digest, + on insertion, - on deletion;
 * filters: one cuckoo filter per shard of the digest space, by version;
-* deleted: the documents taken out again.
+* deleted: the documents taken out again;
+* commits: one row for each insertion or deletion, written last, that names its tables.
 
 A line that its shard's filter doesn't know is new for certain, so that only
 lines that the filter finds are looked up in the counts. Digests are 128-bit
@@ -28,6 +29,7 @@ SHARDS = 64
 MAX_SHARDS = 1 << 18
 #: Text of one shard; more text than SHARDS such is cut into more shards.
 SHARD_BYTES = 64 << 20
+_COMMIT = "batch int, shards int, occurrences string, counts string, deleted string, filters string"
 _OWNER = "struct<none:boolean,doc_id:bigint,batch:int,rid:bigint,line_no:int>"
 
 
@@ -66,20 +68,38 @@ def _change(lines: pa.Table, kept: pa.Table) -> pa.Table:
 
 
 class LineStore:
-    """A line-dedup state at `path`; `shards` is fixed when it is made.
+    """A line-dedup state at `path`, new or as an earlier one left it; `shards` is fixed by the first commit.
 
-    insert() and delete() are made visible by one small table each, written
-    last: a run that is lost midway leaves the state as it was.
+    insert() and delete() are made visible by one row of commits each, written
+    last: a run that is lost midway leaves the state as it was. One store at a
+    time writes to a path.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = SHARDS) -> None:
         self.spark, self.path, self.shards = spark, path, shards
-        self._log: list[dict] = []
+        self._log = self._committed()
+        if self._log:
+            self.shards = self._log[0]["shards"]
 
     # -- tables -------------------------------------------------------------------------------
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        at = [f"{self.path}/{x[kind]}" for x in self._log if kind in x]
+    def _committed(self) -> list[dict]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return []
+        rows = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits").orderBy("batch").collect()  # one a step
+        if [x.batch for x in rows] != list(range(len(rows))):
+            raise ValueError(f"the commits in {self.path} are not one of each batch: {[x.batch for x in rows]}")
+        return [{k: v for k, v in x.asDict().items() if v is not None} for x in rows]
+
+    def _commit(self, step: dict) -> None:
+        step = step | {"batch": len(self._log), "shards": self.shards}
+        row = tuple(step.get(x.split(" ")[0]) for x in _COMMIT.split(", "))
+        self.spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self._log.append(step)
+
+    def _read(self, kind: str, schema: str, log: list[dict] | None = None) -> DataFrame:
+        at = [f"{self.path}/{x[kind]}" for x in (self._log if log is None else log) if kind in x]
         return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def _write(self, df: DataFrame, kind: str) -> str:
@@ -95,7 +115,10 @@ class LineStore:
 
     def counts(self) -> DataFrame:
         """(shard, line, refs): exact reference counts of all lines that a live document has."""
-        changes = self._read("counts", "shard int, line binary, refs long")
+        return self._counts(self._log)
+
+    def _counts(self, log: list[dict]) -> DataFrame:
+        changes = self._read("counts", "shard int, line binary, refs long", log)
         return changes.groupBy("shard", "line").agg(F.sum("refs").alias("refs")).where("refs > 0")
 
     def occurrences(self) -> DataFrame:
@@ -104,9 +127,9 @@ class LineStore:
         gone = self._read("deleted", "gone_id long, gone_batch int")
         return rows.join(gone, (rows.owner.doc_id == gone.gone_id) & (rows.owner.batch <= gone.gone_batch), "left_anti")
 
-    def _refilter(self, change: DataFrame) -> str:
-        """Applies (shard, line, sign); a shard that would be too full is rebuilt from the exact counts, which must already hold the change."""
-        live = self.counts()
+    def _refilter(self, change: DataFrame, step: dict) -> str:
+        """Applies (shard, line, sign); a shard that would be too full is rebuilt from the exact counts with those of `step`, which isn't committed yet."""
+        live = self._counts([*self._log, step])
         sizes = live.groupBy("shard").agg(F.count("*").alias("live"))
         old = self.filters()
         tight = sizes.join(old.select("shard", "capacity"), "shard", "left").where("capacity is null or live > capacity").select("shard")
@@ -152,8 +175,8 @@ class LineStore:
         else:
             new = mine
         step["counts"] = mine_at
-        self._log.append(step)
-        step["filters"] = self._refilter(new.select("shard", "line", F.lit(1).alias("sign")))
+        step["filters"] = self._refilter(new.select("shard", "line", F.lit(1).alias("sign")), step)
+        self._commit(step)
         kept = new.groupBy(F.col("owner.rid").alias(rid)).agg(F.collect_list("owner.line_no").alias("kept"))
         return self._assemble(table, rid, text_col, kept)
 
@@ -183,8 +206,8 @@ class LineStore:
         step = {"counts": self._write(lost, "counts"), "deleted": self._write(gone.withColumn("gone_batch", F.lit(batch)), "deleted")}
         lost = self.spark.read.schema("shard int, line binary, refs long").parquet(f"{self.path}/{step['counts']}")
         dead = settled(before.join(lost.withColumnRenamed("refs", "less"), ["shard", "line"]).where("refs + less = 0").select("shard", "line"))
-        self._log.append(step)
-        step["filters"] = self._refilter(dead.withColumn("sign", F.lit(-1)))
+        step["filters"] = self._refilter(dead.withColumn("sign", F.lit(-1)), step)
+        self._commit(step)
 
     def owned(self) -> DataFrame:
         """(line, doc_id, batch, rid, line_no): the occurrence that keeps each live line now."""

@@ -177,3 +177,29 @@ def test_insertions_and_deletions_are_reversible(spark):
     shown = store.insert(spark.createDataFrame(batches[0], "doc_id long, text string")).collect()
     live = [(5, d, t) for d, t in batches[0]]
     assert {x for r in shown for x in r.text.split("\n") if x} == set(brute(live)[1])
+
+
+def test_line_store_is_reopened_and_survives_a_lost_step(spark, monkeypatch):
+    path = scratch(spark, "store")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    texts = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    line_dedup.LineStore(spark, path, shards=3).insert(batch((1, "a\nb"), (2, "c")))
+    store = line_dedup.LineStore(spark, path)
+    assert store.shards == 3
+    assert texts(store.insert(batch((3, "a\nd"), (4, "c")))) == [(3, "d")]
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    state = lambda x: {bytes(r.line): r.refs for r in x.counts().collect()}
+    before = state(store)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_refilter", lost)
+        for step in (lambda: store.insert(batch((5, "e"))), lambda: store.delete(batch((1, "")).select("doc_id"))):
+            with pytest.raises(RuntimeError, match="lost"):
+                step()
+            assert state(store) == state(line_dedup.LineStore(spark, path)) == before
+    assert texts(store.insert(batch((5, "e\nd")))) == [(5, "e")]
+    store = line_dedup.LineStore(spark, path)
+    store.delete(batch((1, ""), (2, "")).select("doc_id"))
+    assert texts(line_dedup.LineStore(spark, path).insert(batch((6, "a\nb\nc")))) == [(6, "b")]
