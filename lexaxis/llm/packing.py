@@ -4,17 +4,22 @@ A document longer than the context fills whole contexts and leaves a rest. The
 rests' lengths make a histogram, bounded by the context however many documents
 there are. A *configuration* is a multiset of lengths that fits a context. The
 linear program - cover each length's count with as few configurations as
-possible - is solved by multiplicative weights: each length has a weight that
-falls as it is covered, and a knapsack dynamic program finds the configuration
-of greatest weight, which is taken a whole number of times. Rounds go on until
-every length is covered, or until the configuration found leaves more than
-the greatest SLACK of a context free; what is then left goes in by best fit decreasing,
-length by length.
+possible - is solved by multiplicative weights: each length has a price that
+falls by a factor as the length is covered. A knapsack dynamic program finds the
+greatest price that a context can hold; the configurations that reach it, at most
+one for each length, are taken a whole number of times each. The prices over that
+greatest price are a feasible dual solution, so that every round bounds the number
+of contexts from below. At first a length's price is its share of a context,
+which is the optimum wherever contexts can be filled; if the contexts then exceed
+the bound, the prices are sought by rounds that cover lengths in fractions.
+
+What the rounds leave is rounded: context by context, the longest length left
+and the bounded knapsack over the rest's supplies that fills the context best,
+or best fit decreasing where that needs fewer contexts for what is left.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,10 +31,18 @@ from pyspark.sql import functions as F
 from lexaxis.llm.common import bounded, id_and_text, numbered, settled
 
 CONTEXT = 2048
-#: A round of multiplicative weights places one configuration, in at most one of so many parts of all contexts.
+#: Rounds of multiplicative weights; the program ends before that when a round places less than LEAST of what is left.
 ROUNDS = 300
-#: Shares of a context that the program may leave free; it is cut at each, and the one that needs the fewest contexts with its rest counts.
-SLACK = (0.01, 0.005, 0.002, 0.001, 0.0005, 0.0)
+LEAST = 0.0005
+#: Share of a length's open count that one round may place.
+STEP = 0.5
+#: Logarithm of the factor between the price of a length that is open and one that is covered, while contexts are placed:
+#: the first keeps to full contexts, the second may waste room.
+RATES = (0.003, 1.0)
+#: The same for a length covered once, while prices are sought.
+SEARCH = 0.1
+#: Share of the greatest price by which a configuration may fall short of it.
+SHORT = 0.002
 #: Parts that ranks are counted in; bounds the offset tables, not the rows.
 PARTS = 32
 #: The same for documents of whole contexts, which have but one rank.
@@ -38,64 +51,112 @@ WHOLE_PARTS = 4096
 Config = tuple[tuple[int, int], ...]
 
 
-def best_configuration(lengths: np.ndarray, weights: np.ndarray, limit: np.ndarray, context: int) -> dict[int, int]:
-    """Indices and numbers of the lengths that fill a context with the greatest weight (unbounded knapsack, ties to greater lengths).
+def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, choice) by capacity: the greatest price that fits it, and a length that reaches it (0: none of its own).
 
-    It is cut to `limit` each; the room that makes goes to the greatest lengths that fit.
+    `prices` is dense by length, -inf where a length isn't there; a length may
+    be taken any number of times; ties go to greater lengths.
     """
-    value = np.zeros(context + 1)
-    choice = np.full(context + 1, -1)
-    down, heavy, size = lengths[::-1], weights[::-1], len(lengths)
-    fits = np.searchsorted(lengths, np.arange(context + 1), side="right")
+    context = len(prices) - 1
+    value, choice, down = np.zeros(context + 1), np.zeros(context + 1, np.int64), prices[:0:-1].copy()
     for c in range(1, context + 1):
-        value[c] = value[c - 1]
-        if fits[c]:
-            gain = value[c - down[size - fits[c] :]] + heavy[size - fits[c] :]
-            k = int(gain.argmax())
-            if gain[k] > value[c]:
-                value[c], choice[c] = gain[k], fits[c] - 1 - k
+        gain = value[:c] + down[context - c :]
+        k = int(gain.argmax())
+        value[c], choice[c] = (gain[k], c - k) if gain[k] > value[c - 1] else (value[c - 1], 0)
+    return value, choice
+
+
+def _chosen(choice: np.ndarray, capacity: int) -> Counter[int]:
     found: Counter[int] = Counter()
-    c = room = context
-    while c > 0:
-        k = int(choice[c])
-        if k < 0:
-            c -= 1
-        else:
-            c -= int(lengths[k])
-            if found[k] < limit[k]:
-                found[k] += 1
-                room -= int(lengths[k])
-    k = int(fits[room]) - 1
-    while k >= 0:
-        more = min(int(limit[k]) - found[k], room // int(lengths[k]))
-        found[k] += more
-        room -= more * int(lengths[k])
-        k = min(k, int(fits[room])) - 1
-    return {k: n for k, n in found.items() if n}
-
-
-def program(lengths: np.ndarray, counts: np.ndarray, context: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int, int]]:
-    """(configuration, number of contexts, tokens free in each), round by round: an approximate solution of the linear program in whole numbers.
-
-    No length is covered more than `counts` times. A round places a `rounds`th of
-    all contexts or at least halves what is left of a length, so that rounds are bounded whatever the counts.
+    while capacity > 0:
+        length = int(choice[capacity])
+        found[length] += length > 0
+        capacity -= length or 1
+    return +found
+
+
+def dual_prices(counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(prices by length, dual bound) of the best of `rounds` rounds, each of which covers the best configuration's lengths a little more."""
+    lengths, own = np.arange(len(counts)), counts > 0
+    covered, best, bound = np.zeros(len(counts)), lengths.astype(float), 0.0
+    for _ in range(rounds):
+        price = np.where(own, lengths * np.exp(-(covered - covered[own].min())), -np.inf)
+        value, choice = knapsack(price)
+        reached = float(counts[own] @ price[own] / value[-1])
+        if reached > bound:
+            best, bound = np.where(own, price, 0.0), reached
+        config = _chosen(choice, len(counts) - 1)
+        share = {k: n / int(counts[k]) for k, n in config.items()}
+        for k, x in share.items():
+            covered[k] += SEARCH * x / max(share.values())
+    return best, bound
+
+
+def program(counts: np.ndarray, prices: np.ndarray | None = None, rate: float = RATES[0], rounds: int = ROUNDS) -> tuple[Counter[Config], np.ndarray, float]:
+    """(contexts by configuration, counts left, dual bound): an approximate solution of the linear program in whole numbers.
+
+    `counts` and `prices` (by default the lengths) are dense by length; no length is covered more often than it occurs.
     """
-    step = max(1, int(lengths @ counts) // (context * rounds))
-    rate = np.log(len(lengths) + 1) / 4
-    left = counts.copy()
-    found = []
-    while (left > 0).any():
-        own = np.flatnonzero(left > 0)
-        weight = np.exp(rate * (left[own] / counts[own] - 1)) * lengths[own]
-        config = {int(own[k]): n for k, n in best_configuration(lengths[own], weight, left[own], context).items()}
-        free = context - sum(int(lengths[k]) * n for k, n in config.items())
-        if free > max(SLACK) * context:
+    first = np.arange(len(counts)) if prices is None else prices
+    lengths, left, plan, bound = np.arange(len(counts)), counts.copy(), Counter(), 0.0
+    for _ in range(rounds):
+        own = left > 0
+        if not own.any():
             break
-        many = min(step, *(int(left[k]) // n for k, n in config.items()))
+        price = first * np.exp(rate * (left / np.maximum(counts, 1) - 1))
+        value, choice = knapsack(np.where(own, price, -np.inf))
+        if own.sum() == (counts > 0).sum():  # a price for each length: a dual solution
+            bound = max(bound, float(counts @ price / value[-1]))
+        open_ = np.minimum(np.ceil(STEP * left).astype(np.int64), left)
+        placed = 0
+        for length in np.flatnonzero(own)[::-1].tolist():
+            if not open_[length] or price[length] + value[len(counts) - 1 - length] < (1 - SHORT) * value[-1]:
+                continue
+            config = _chosen(choice, len(counts) - 1 - length)
+            config[length] += 1
+            many = min(int(open_[k]) // n for k, n in config.items())
+            if many:
+                for k, n in config.items():
+                    open_[k] -= n * many
+                    left[k] -= n * many
+                plan[tuple(sorted(config.items()))] += many
+                placed += many
+        if placed * (len(counts) - 1) < LEAST * (lengths @ left):
+            break
+    return plan, left, bound
+
+
+def fill(counts: np.ndarray) -> Counter[Config]:
+    """Contexts by configuration for all of `counts`: each has the longest length left, and with it is as full as can be.
+
+    The bounded knapsack is over bits, a bit for a sum, with supplies cut in
+    powers of two; of the ways to the best sum it takes the one of longest pieces.
+    """
+    plan, left, context = Counter(), counts.copy(), len(counts) - 1
+    while left.any():
+        own = np.flatnonzero(left).tolist()
+        room = context - own[-1]
+        left[own[-1]] -= 1
+        pieces, sums, mask = [], [1], (1 << (room + 1)) - 1
+        for length in own:
+            many, n = min(int(left[length]), room // length), 1
+            while many > 0:
+                n = min(n, many)
+                pieces.append((length, n))
+                sums.append((sums[-1] | sums[-1] << length * n) & mask)
+                many, n = many - n, 2 * n
+        left[own[-1]] += 1
+        config, total = Counter({own[-1]: 1}), sums[-1].bit_length() - 1
+        for i in range(len(pieces) - 1, -1, -1):
+            length, n = pieces[i]
+            if total >= length * n and sums[i] >> (total - length * n) & 1:
+                config[length] += n
+                total -= length * n
+        many = min(int(left[k]) // n for k, n in config.items())
+        plan[tuple(sorted(config.items()))] += many
         for k, n in config.items():
             left[k] -= n * many
-        found.append((config, many, free))
-    return found
+    return plan
 
 
 def best_fit_decreasing(lengths: np.ndarray, counts: np.ndarray, context: int) -> list[tuple[Config, int]]:
@@ -128,30 +189,32 @@ def best_fit_decreasing(lengths: np.ndarray, counts: np.ndarray, context: int) -
     return [(config, many) for group in room.values() for config, many in group.items()]
 
 
-def solve(histogram: dict[int, int], context: int, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
-    """(configuration, number of contexts) that place every length in `histogram` exactly as often as it occurs."""
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    if not len(lengths):
-        return []
-    if lengths[0] < 1 or lengths[-1] > context:
+def solve(histogram: dict[int, int], context: int, rounds: int = ROUNDS) -> tuple[list[tuple[Config, int]], float]:
+    """([(configuration, number of contexts)], dual bound): every length in `histogram` is placed exactly as often as it occurs.
+
+    The contexts that the program places all stand; only what it leaves is rounded.
+    """
+    if not histogram:
+        return [], 0.0
+    if min(histogram) < 1 or max(histogram) > context:
         raise ValueError("lengths lie between 1 and the context")
-    counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    found = program(lengths, counts, context, rounds)
-    plans = []
-    for slack in SLACK:
-        done: Counter[Config] = Counter()
-        left = counts.copy()
-        for config, many, _ in itertools.takewhile(lambda x: x[2] <= slack * context, found):  # noqa: B023
-            done[tuple((int(lengths[k]), n) for k, n in sorted(config.items()))] += many
-            for k, n in config.items():
-                left[k] -= n * many
-        rest = left > 0
-        for config, many in best_fit_decreasing(lengths[rest], left[rest], context):
-            done[config] += many
-        plans.append(list(done.items()))
-    # a fallback: plain best fit decreasing counts only where it needs fewer contexts than the program with its rest
-    plans.append(best_fit_decreasing(lengths, counts, context))
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
+    counts = np.zeros(context + 1, np.int64)
+    counts[list(histogram)] = list(histogram.values())
+    best, bound, prices = None, 0.0, None
+    for rate in (*RATES, None):
+        if rate is None:
+            prices, dual = dual_prices(counts, rounds)
+            bound = max(bound, dual)
+        plan, left, dual = program(counts, prices, rate or RATES[0], rounds)
+        bound = max(bound, dual)
+        own = np.flatnonzero(left)
+        rests = (fill(left), Counter(dict(best_fit_decreasing(own, left[own], context))))
+        plan = plan + min(rests, key=lambda rest: rest.total())
+        if best is None or plan.total() < best.total():
+            best = plan
+        if best.total() <= np.ceil(bound - 1e-6) + 1:
+            break
+    return list(best.items()), bound
 
 
 def slots(plan: list[tuple[Config, int]]) -> dict[str, np.ndarray]:
@@ -212,7 +275,7 @@ def pack(docs: DataFrame, context: int = CONTEXT, rounds: int = ROUNDS, id_col:
     sized = settled(id_and_text(table, rid, id_col, text_col).select("rid", "doc_id", words.cast("long").alias("tokens"), F.pmod(F.xxhash64("rid"), F.lit(WHOLE_PARTS)).cast("int").alias("part")).where("tokens > 0"))
     rest = sized.select("rid", "doc_id", F.expr(f"tokens - tokens % {context}").alias("first_token"), F.expr(f"tokens % {context}").alias("tokens"), (F.col("part") % PARTS).alias("part")).where("tokens > 0")
     histogram = {r.tokens: r.n for r in rest.groupBy("tokens").agg(F.count("*").alias("n")).collect()}  # below `context` rows
-    run = slots(solve(histogram, context, rounds))
+    run = slots(solve(histogram, context, rounds)[0])
     pieces = _ranked(rest, ["tokens"], F.lit(1)).select("rid", "doc_id", "first_token", "tokens", "rank").mapInArrow(_placed(run), "rid long, doc_id long, first_token long, tokens long, pack_id long")
     whole = sized.select("rid", "doc_id", "part", F.expr(f"tokens div {context}").alias("n")).where("n > 0")
     whole = _ranked(whole, [], F.col("n")).select("rid", "doc_id", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))

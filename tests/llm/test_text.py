@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,35 +53,76 @@ def test_packing_hard_rows(nasty, empty):
     assert packing.pack(empty).count() == 0
 
 
-@settings(deadline=None, max_examples=25)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=12))
-def test_plan_places_every_length_and_is_near_the_bound(histogram):
-    plan = packing.solve(histogram, 40, 60)
-    placed = {}
+def placed_by(plan, context):
+    found = Counter()
     for config, many in plan:
-        assert sum(size * n for size, n in config) <= 40
+        assert sum(size * n for size, n in config) <= context
         for size, n in config:
-            placed[size] = placed.get(size, 0) + n * many
-    assert placed == histogram
-    plain = packing.best_fit_decreasing(np.array(sorted(histogram), np.int64), np.array([histogram[x] for x in sorted(histogram)], np.int64), 40)
-    assert sum(n for _, n in plan) <= sum(n for _, n in plain)
+            found[size] += n * many
+    return found
+
+
+def plain_best_fit(histogram, context):
+    sizes = np.array(sorted(histogram), np.int64)
+    return sum(n for _, n in packing.best_fit_decreasing(sizes, np.array([histogram[int(x)] for x in sizes], np.int64), context))
+
+
+@settings(deadline=None, max_examples=25)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), max_size=12))
+def test_plan_places_every_length_and_is_near_the_dual_bound(histogram):
+    plan, bound = packing.solve(histogram, 40, 60)
+    assert placed_by(plan, 40) == histogram
+    assert bound >= sum(size * n for size, n in histogram.items()) / 40 - 1e-6
+    assert bound - 1e-6 <= sum(n for _, n in plan) <= plain_best_fit(histogram, 40) + len(histogram) + 1
+
+
+def optimum(items, context):
+    """Least number of contexts by dynamic programming over subsets: (contexts, fill of the last one)."""
+    best = {0: (1, 0)}
+    for held in range(1 << len(items)):
+        for i, size in enumerate(items):
+            if not held >> i & 1 and held in best:
+                n, used = best[held]
+                new = (n, used + size) if used + size <= context else (n + 1, size)
+                both = held | 1 << i
+                best[both] = min(best.get(both, new), new)
+    return best[(1 << len(items)) - 1][0]
+
+
+def test_plans_against_the_optimum_of_small_histograms():
+    source, equal = random.Random(4), 0
+    for _ in range(60):
+        items = [source.randrange(1, 21) for _ in range(source.randrange(1, 11))]
+        plan, bound = packing.solve(Counter(items), 20)
+        least, n = optimum(items, 20), sum(many for _, many in plan)
+        assert bound - 1e-6 <= least <= n <= least + 1
+        equal += n == least
+    assert equal >= 55
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_program_carries_the_packing_of_the_documents(spark, sf):
+    rests = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select((F.size(F.array_remove(F.split("text", r"\s+"), "")) % packing.CONTEXT).alias("n")).where("n > 0")
+    histogram = {r.n: r["count"] for r in rests.groupBy("n").count().collect()}
+    plan, bound = packing.solve(histogram, packing.CONTEXT)
+    n = sum(many for _, many in plan)
+    assert placed_by(plan, packing.CONTEXT) == histogram
+    assert n <= np.ceil(bound - 1e-6) + 1 and n <= plain_best_fit(histogram, packing.CONTEXT)
+    counts = np.zeros(packing.CONTEXT + 1, np.int64)
+    counts[list(histogram)] = list(histogram.values())
+    own, left, dual = packing.program(counts)
+    assert own.total() > 0.4 * n and dual <= bound
+    assert set(own) <= {config for config, _ in plan} and (left >= 0).all()
 
 
 def test_linear_program_beats_best_fit_where_that_is_known_to_be_bad():
-    plan = packing.solve({7: 60, 10: 60, 23: 60}, 40)
-    assert sum(n for _, n in plan) == 60
-
-
-def test_program_covers_nearly_all_and_its_packs_are_returned():
-    random = np.random.default_rng(3)
-    sizes, n = np.unique(np.clip(random.lognormal(4, 1, 60_000).astype(np.int64), 1, 256), return_counts=True)
-    found = packing.program(sizes, n, 256)
-    covered = sum(many * (256 - free) for _, many, free in found)
-    assert covered > 0.9 * (sizes @ n)
-    plan = packing.solve(dict(zip(sizes.tolist(), n.tolist(), strict=True)), 256)
-    assert sum(many * size * k for config, many in plan for size, k in config) == sizes @ n
-    own = {tuple((int(sizes[k]), c) for k, c in sorted(config.items())) for config, _, _ in found}
-    assert sum(many for config, many in plan if config in own) > 0.5 * sum(many for _, many in plan)
+    plan, bound = packing.solve({7: 60, 10: 60, 23: 60}, 40)
+    assert sum(n for _, n in plan) == 60 == round(bound)
+
+
+def test_prices_find_a_bound_that_volume_does_not():
+    plan, bound = packing.solve({21: 100, 22: 50}, 40)
+    assert sum(n for _, n in plan) == 150 and bound == pytest.approx(150, abs=5)
 
 
 # -- WARC ---------------------------------------------------------------------------------------
