@@ -33,6 +33,10 @@ class CuckooFilter:
     def capacity(self) -> int:
         return int(self.table.size * MAX_LOAD)
 
+    @property
+    def held(self) -> int:
+        return int(np.count_nonzero(self.table)) + len(self.stash)
+
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = mix(keys)
         mark = (h >> np.uint64(48)).astype(np.uint16)
@@ -87,17 +91,23 @@ class CuckooFilter:
 
     def delete(self, keys: np.ndarray) -> None:
         """Takes one mark of each key out; every key must be held."""
-        for m, one, two in zip(*(x.tolist() for x in self._places(keys)), strict=True):
-            for at in (one, two):
-                slot = np.flatnonzero(self.table[at] == m)
-                if len(slot):
-                    self.table[at, slot[0]] = 0
-                    break
-                if (at, m) in self.stash:
-                    self.stash.remove((at, m))
-                    break
-            else:
-                raise KeyError("a key that isn't held can't be deleted")
+        mark, one, two = self._places(keys)
+        while len(mark):
+            inside = np.stack([self.table[at] == mark[:, None] for at in (one, two)], axis=1).reshape(len(mark), -1)
+            slot = inside.argmax(1)
+            place = np.where(slot < SLOTS, one, two) * SLOTS + slot % SLOTS
+            found = inside.any(1)
+            for i in np.flatnonzero(~found).tolist():
+                at = next((x for x in ((int(one[i]), int(mark[i])), (int(two[i]), int(mark[i]))) if x in self.stash), None)
+                if at is None:
+                    raise KeyError("a key that isn't held can't be deleted")
+                self.stash.remove(at)
+            # keys of one mark may have picked one place: the first takes it, the others look again
+            found = np.flatnonzero(found)
+            taken, first = np.unique(place[found], return_index=True)
+            self.table.reshape(-1)[taken] = 0
+            again = np.delete(found, first)
+            mark, one, two = mark[again], one[again], two[again]
 
     def to_bytes(self) -> bytes:
         stash = np.array(self.stash, np.int64).reshape(-1, 2)

@@ -34,7 +34,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_docs(spark, sf_dir)).select("doc_id", "text")
+    return line_dedup.replay(_docs(spark, sf_dir)).select("doc_id", "text")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_warc_round_trip": "select page_id, url, html, 'sha256:' || sha256(coalesce(html, '')) as digest from pages",
     "op5_line_dedup": """
-        with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
-        r as (select *, trim(line, ' ') = '' as blank, row_number() over (partition by line order by doc_id, i) as n from l)
+        with d as (select doc_id, text, case when doc_id % 10 = 0 then 3 when coalesce(doc_id % 2, 0) = 0 then 0 else 1 end as batch from documents),
+        l as (select doc_id, batch, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d),
+        r as (select *, trim(line, ' ') = '' as blank, row_number() over (partition by line order by batch, doc_id, i) as n from l)
         select doc_id, string_agg(line, chr(10) order by i) filter (blank or n = 1) as text from r
         group by doc_id having bool_or(not blank and n = 1) or bool_and(blank)
         union all select doc_id, text from documents where text is null""",
