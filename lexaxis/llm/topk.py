@@ -1,175 +1,266 @@
 """Exact top-k search by MaxScore over document shards.
 
 Scores are BM25 in whole millionths, so that sums don't depend on their order.
-The corpus statistics come from a first pass over all documents. In the second,
-each run of SHARD_DOCS documents is a shard: its postings for the queries' terms
-are laid out as arrays, each with its greatest impact. For a query the terms are
-ordered by that bound; those whose bounds together stay below the k-th best
-score so far are non-essential. Only the others' postings are traversed; the
-rest are probed for the documents found, as long as these can still compete.
-The shards' best are merged at the end.
+The documents are tokenised once, into an index in the shared folder: a row for
+each shard of documents, with its terms and their postings as arrays. Queries go
+in blocks against all shards. For a query the terms are ordered by the greatest
+score that each can give in the shard; those whose bounds together stay below the
+k-th best score so far are non-essential. Only the others' postings are
+traversed; the rest are probed for the documents found, as long as these can
+still compete. A few shards are searched first: their k-th best scores are where
+the search of all others begins, so that a shard sends only what can still be
+among the best. The shards' best are merged at the end.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexaxis.llm.common import column, id_and_text, numbered
+from lexaxis.llm.common import bounded, column, id_and_text, numbered, scratch
 
 K1, B = 1.2, 0.75
 TOP_K = 10
-SHARD_DOCS = 8192
-#: Documents that are scored between two looks at the threshold.
-STRIDE = 2048
-#: Queries of one pass over the documents; more are further passes. Bounds what is broadcast.
-BLOCK_QUERIES = 1000
+#: Documents and bytes of text of a shard; a longer text is a shard by itself.
+SHARD_DOCS = 1 << 13
+SHARD_BYTES = 32 << 20
+#: Documents of a shard that are scored before the threshold is looked at, where none is known yet.
+STRIDE = 1024
+#: Queries, and bytes of their text, of one pass over the index; more are further passes. Bounds what is broadcast; a longer query is a block by itself.
+BLOCK_QUERIES = 2000
+BLOCK_BYTES = 8 << 20
 SCALE = 1_000_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c"
-_TO_SPACE = str.maketrans(PUNCTUATION, " " * len(PUNCTUATION))
+_SPLIT = "[" + "".join(f"\\x{ord(c):02x}" for c in PUNCTUATION) + "]"
+_INDEX = "rid array<long>, doc_id array<long>, length array<int>, words long, names binary, ends binary, starts binary, docs binary, times binary"
 
 
-def terms(text: str | None) -> list[str]:
-    """Lower-cased runs of characters other than ASCII punctuation and white space."""
-    return [t for t in text.lower().translate(_TO_SPACE).split(" ") if t] if text else []
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(terms, text of each): lower-cased runs of characters other than ASCII punctuation and white space; a null text has none."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), _SPLIT, " ")
+    lists = pc.split_pattern(plain, " ")
+    each = lists.flatten()
+    of = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    some = pc.not_equal(each, "")
+    return each.filter(some), of[some.to_numpy(zero_copy_only=False)]
 
 
-def _statistics(vocabulary: dict[str, int]):
+def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct terms, term, text, times): the last three by term, then text."""
+    each, of = tokens(texts)
+    coded = each.dictionary_encode()
+    key, times = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(texts), 1) + of, return_counts=True)
+    return coded.dictionary, key // max(len(texts), 1), key % max(len(texts), 1), times
+
+
+def _index_row(rid: pa.Array, doc_id: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
+    names, term, of, times = counted(texts)
+    if not len(term):
+        return None
+    length = np.bincount(of, weights=times, minlength=len(texts)).astype(np.int32)
+    some = length > 0  # documents without terms are no documents here
+    names = names.cast(pa.large_string())
+    _, ends, data = names.buffers()
+    columns = {
+        "rid": [rid.filter(pa.array(some)).to_pylist()],
+        "doc_id": [doc_id.filter(pa.array(some)).to_pylist()],
+        "length": [length[some].tolist()],
+        "words": [int(length.sum())],
+        "names": [data.to_pybytes()],
+        "ends": [np.frombuffer(ends, np.int64)[: len(names) + 1].tobytes()],
+        "starts": [np.searchsorted(term, np.arange(len(names) + 1)).astype(np.int64).tobytes()],
+        "docs": [(np.cumsum(some) - 1)[of].astype(np.uint16).tobytes()],
+        "times": [times.astype(np.uint32).tobytes()],
+    }
+    types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), types, strict=True)], list(columns))
+
+
+def _index(docs_a_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, docs, words = np.zeros(len(vocabulary), np.int64), 0, 0
-        get = vocabulary.get
+        held: list[pa.RecordBatch] = []
+
+        def row():
+            made = _index_row(*(pa.concat_arrays([b.column(i) for b in held]) for i in range(3)))
+            held.clear()
+            return [] if made is None else [made]
+
+        rows = size = 0
         for batch in batches:
-            ids = []
-            for text in batch.column(0).to_pylist():
-                tokens = terms(text)
-                docs += bool(tokens)
-                words += len(tokens)
-                ids.extend({get(t, -1) for t in tokens})
-            seen = np.array(ids, np.int64)
-            found += np.bincount(seen[seen >= 0], minlength=len(vocabulary))
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1, -2]), pa.array(np.r_[found[some], docs, words])], ["term", "n"])
+            bytes_ = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                fits = int(np.searchsorted(np.cumsum(bytes_[at:]), SHARD_BYTES - size, side="right"))
+                n = min(docs_a_shard - rows, fits, batch.num_rows - at)
+                if n <= 0 and rows:
+                    yield from row()
+                    rows = size = 0
+                    continue
+                n = max(n, 1)
+                held.append(batch.slice(at, n))
+                rows, size, at = rows + n, size + int(bytes_[at : at + n].sum()), at + n
+        if rows:
+            yield from row()
 
     return run
 
 
 class Shard:
-    """Postings of one run of documents for the terms of the queries."""
+    """Postings of a shard for the terms of a block of queries: of term t those from start[t] to end[t]."""
 
-    def __init__(self, doc: np.ndarray, term: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float) -> None:
-        key, count = np.unique(term.astype(np.int64) * len(length) + doc, return_counts=True)
-        self.size = len(length)
-        of, self.doc = key // max(self.size, 1), key % max(self.size, 1)
+    def __init__(self, doc: np.ndarray, times: np.ndarray, start: np.ndarray, end: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        self.size, self.start, self.end, self.doc = len(length), start, end, doc
+        self.impact = np.zeros(len(doc))
         norm = K1 * (1 - B + B * length / mean)
-        self.impact = np.floor(SCALE * (idf[of] * (count * (K1 + 1) / (count + norm[self.doc]))) + 0.5).astype(np.int64)
-        self.start = np.searchsorted(of, np.arange(len(idf) + 1))
-
-    def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        s, e = self.start[term], self.start[term + 1]
-        return self.doc[s:e], self.impact[s:e]
-
-    def search(self, query: list[tuple[int, int]], k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the k best; equal scores rank by `ids`, whose values are distinct."""
-        lists = []
-        for term, times in query:
-            docs, impact = self.postings(term)
-            if len(docs):
-                lists.append((int(impact.max()) * times, docs, impact * times))
-        lists.sort(key=lambda x: x[0])
-        upto = np.cumsum([0, *(x[0] for x in lists)])  # upto[i]: bound of the first i lists together
-        best_doc, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for lo in range(0, self.size, STRIDE):
-            hi = min(lo + STRIDE, self.size)
-            threshold = int(best.min()) if len(best) == k else 0
-            first = int(np.searchsorted(upto[1:], threshold, side="left")) if threshold else 0  # lists before it are non-essential
+        of = np.zeros(len(doc))
+        own = np.flatnonzero(end > start)
+        for t in own.tolist():
+            of[start[t] : end[t]] = idf[t]
+        self.impact = np.floor(SCALE * (of * (times * (K1 + 1) / (times + norm[doc]))) + 0.5)
+        self.top = np.zeros(len(start))
+        if len(own):
+            by_place = own[np.argsort(start[own])]
+            edges = np.stack([start[by_place], end[by_place]], axis=1).ravel()
+            self.top[by_place] = np.maximum.reduceat(np.r_[self.impact, 0.0], edges)[::2]
+
+    def search(self, terms: np.ndarray, times: np.ndarray, k: int, ids: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best that score `floor` at least; equal scores rank by `ids`, whose values are distinct."""
+        some = self.end[terms] > self.start[terms]
+        terms, times = terms[some], times[some]
+        bound = self.top[terms] * times
+        order = np.argsort(bound)
+        upto = np.r_[0.0, np.cumsum(bound[order])]  # upto[i]: bound of the first i lists together
+        lists = [(self.doc[self.start[t] : self.end[t]], self.impact[self.start[t] : self.end[t]], n) for t, n in zip(terms[order].tolist(), times[order].tolist(), strict=True)]
+        best_doc, best = np.zeros(0, np.int64), np.zeros(0)
+        steps = [0, self.size] if floor or self.size <= STRIDE else [0, STRIDE, self.size]
+        for lo, hi in zip(steps[:-1], steps[1:], strict=True):
+            threshold = max(floor, float(best.min()) if len(best) == k else 0.0)
+            first = int(np.searchsorted(upto[1:], threshold, side="left"))  # lists before it are non-essential
             if first == len(lists):
                 break
-            score = np.zeros(hi - lo, np.int64)
-            for _, docs, impact in lists[first:]:
-                s, e = np.searchsorted(docs, (lo, hi))
-                score[docs[s:e] - lo] += impact[s:e]
+            part = lists if len(steps) == 2 else [(d[s:e], x[s:e], n) for d, x, n in lists for s, e in [np.searchsorted(d, (lo, hi))]]
+            score = np.bincount(np.concatenate([d for d, _, _ in part[first:]]), np.concatenate([x if n == 1 else x * n for _, x, n in part[first:]]), self.size)
             found = np.flatnonzero(score)
             for i in range(first - 1, -1, -1):
                 found = found[score[found] + upto[i + 1] >= threshold]
                 if not len(found):
                     break
-                _, docs, impact = lists[i]
-                s, e = np.searchsorted(docs, (lo, hi))
-                if s == e:
-                    continue
-                at = np.searchsorted(docs[s:e], found + lo)
-                hit = (at < e - s) & (docs[s:e][np.minimum(at, e - s - 1)] == found + lo)
-                score[found[hit]] += impact[s:e][at[hit]]
-            found = found[score[found] >= max(threshold, 1)]
-            docs, scores = np.r_[best_doc, found + lo], np.r_[best, score[found]]
+                docs, impact, n = part[i]
+                if len(docs):
+                    at = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
+                    score[found] += np.where(docs[at] == found, impact[at] * n, 0.0)
+            found = found[score[found] >= max(threshold, 1.0)]
+            docs, scores = np.r_[best_doc, found], np.r_[best, score[found]]
+            if len(docs) > 4 * k:  # only what reaches the k-th best is sorted
+                keep = scores >= np.partition(scores, -k)[-k]
+                docs, scores = docs[keep], scores[keep]
             top = np.lexsort((ids[docs], -scores))[:k]
             best_doc, best = docs[top], scores[top]
         return best_doc, best
 
 
-def _search(vocabulary: dict[str, int], queries: list[list[tuple[int, int]]], idf: np.ndarray, mean: float, k: int):
-    none = np.iinfo(np.int64).max
+def _names(row: dict) -> pa.Array:
+    ends = pa.py_buffer(row["ends"])
+    return pa.LargeStringArray.from_buffers(len(row["ends"]) // 8 - 1, ends, pa.py_buffer(row["names"]))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Row by row, since a shard's row has some megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
 
-    def best_of(rids, ids, docs, found, lengths):
-        shard = Shard(np.concatenate(docs), np.concatenate(found), np.array(lengths), idf, mean)
-        rid, doc_id = np.array(rids), np.array([none if x is None else x for x in ids])
-        order = np.empty(len(rid), np.int64)
-        order[np.lexsort((rid, doc_id))] = np.arange(len(rid))
-        rows = [(q, *shard.search(query, k, order)) for q, query in enumerate(queries)]
-        at = np.concatenate([d for _, d, _ in rows])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([q for q, _, _ in rows], [len(d) for _, d, _ in rows])), pa.array(rid[at]), pa.array([ids[i] for i in at], pa.int64()), pa.array(np.concatenate([s for _, _, s in rows]))],
-            ["query", "rid", "doc_id", "score"],
-        )
+def _statistics(vocabulary):
+    """(term, n): in how many documents each term of the broadcast vocabulary is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
-        rids, ids, docs, found, lengths = [], [], [], [], []
+        terms = vocabulary.value
+        found = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for rid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = terms(text)
-                hits = [i for i in map(get, tokens) if i is not None]
-                if hits:
-                    docs.append(np.full(len(hits), len(rids)))
-                    found.append(np.array(hits))
-                    rids.append(rid)
-                    ids.append(doc_id)
-                    lengths.append(len(tokens))
-                if len(rids) == SHARD_DOCS:
-                    yield best_of(rids, ids, docs, found, lengths)
-                    rids, ids, docs, found, lengths = [], [], [], [], []
-        if rids:
-            yield best_of(rids, ids, docs, found, lengths)
+            for row in _rows(batch):
+                at = pc.index_in(_names(row), terms).fill_null(-1).to_numpy(zero_copy_only=False)
+                found[at[at >= 0]] += np.diff(np.frombuffer(row["starts"], np.int64))[at >= 0]
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], ["term", "n"])
 
     return run
 
 
-def _block(work: DataFrame, block: list[tuple[int | None, list[str]]], k: int) -> DataFrame:
-    schema = "query long, rid long, doc_id long, score long"
-    vocabulary = {t: i for i, t in enumerate(sorted({t for _, q in block for t in q}))}
-    sums = {}
-    if vocabulary:
-        sums = {r.term: r.n for r in work.select("text").mapInArrow(_statistics(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the queries' terms
-    spark = work.sparkSession
-    names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(block)], "query long, item_id long")
-    if not sums.get(-1):
-        return spark.createDataFrame([], "item_id long, doc_id long, score long, rank int")
-    n, mean = sums[-1], sums[-2] / sums[-1]
-    idf = np.zeros(len(vocabulary))
-    for i in vocabulary.values():
-        if i in sums:
-            idf[i] = np.log(1 + (n - sums[i] + 0.5) / (sums[i] + 0.5))
-    queries = [sorted((vocabulary[t], c) for t, c in Counter(q).items()) for _, q in block]
-    found = work.mapInArrow(_search(vocabulary, queries, idf, mean, k), schema)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "rid")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.join(F.broadcast(names), "query").select("item_id", "doc_id", "score", "rank")  # at most BLOCK_QUERIES names
+def _search(block, mean: float, k: int):
+    """`block` is broadcast: (vocabulary, idf, [(terms, times)], floors)."""
+    none = np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf, queries, floors = block.value
+        floors = floors.copy()
+        for batch in batches:
+            for row in _rows(batch):
+                at = pc.index_in(_names(row), vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+                starts, own = np.frombuffer(row["starts"], np.int64), at >= 0
+                start, end = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+                start[at[own]], end[at[own]] = starts[:-1][own], starts[1:][own]
+                rid, length = np.array(row["rid"]), np.array(row["length"])
+                shard = Shard(np.frombuffer(row["docs"], np.uint16).astype(np.int64), np.frombuffer(row["times"], np.uint32), start, end, length, idf, mean)
+                doc_id = np.array([none if x is None else x for x in row["doc_id"]])
+                order = np.empty(len(rid), np.int64)
+                order[np.lexsort((rid, doc_id))] = np.arange(len(rid))
+                docs, scores, of = [], [], []
+                for q, (terms, times) in enumerate(queries):
+                    d, s = shard.search(terms, times, k, order, floors[q])
+                    docs.append(d)
+                    scores.append(s)
+                    of.append(np.full(len(d), q))
+                    if len(d) == k:
+                        floors[q] = max(floors[q], s.min())
+                if docs:
+                    place = pa.array(np.concatenate(docs))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(of)), pa.array(rid).take(place), pa.array(row["doc_id"], pa.int64()).take(place), pa.array(np.concatenate(scores).astype(np.int64))],
+                        ["query", "rid", "doc_id", "score"],
+                    )
+
+    return run
+
+
+_FOUND = "query long, rid long, doc_id long, score long"
+_RESULT = "item_id long, doc_id long, score long, rank int"
+
+
+def _block(index: DataFrame, seeds: int, shards: int, n: int, mean: float, items: list, texts: list, k: int, to: str) -> None:
+    """Writes the result rows of one block of queries to `to`."""
+    spark = index.sparkSession
+    vocabulary, term, of, times = counted(pa.array(texts, pa.string()))
+    if not len(vocabulary):
+        return
+    sent = spark.sparkContext.broadcast(vocabulary.cast(pa.large_string()))
+    sums = index.select("names", "ends", "starts").mapInArrow(_statistics(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the block's terms
+    df = np.zeros(len(vocabulary))
+    for r in sums:
+        df[r.term] = r.n
+    idf = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
+    by_query = np.argsort(of, kind="stable")
+    cut = np.searchsorted(of[by_query], np.arange(len(texts) + 1))
+    queries = [(term[by_query[s:e]], times[by_query[s:e]]) for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    floors = np.zeros(len(texts))
+    best = lambda rows, upto: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "rid"))).where(F.col("rank") <= upto)
+    parts = index.withColumn("seed", F.pmod(F.xxhash64(F.get("rid", F.lit(0))), F.lit(shards)) < seeds) if seeds < shards else index.withColumn("seed", F.lit(True))
+    sent_all = spark.sparkContext.broadcast((sent.value, idf, queries, floors))
+    at = scratch(spark, "seeds")
+    best(parts.where("seed").drop("seed").mapInArrow(_search(sent_all, mean, k), _FOUND), k).drop("rank").write.parquet(at)
+    found = spark.read.schema(_FOUND).parquet(at)
+    if seeds < shards:
+        for r in found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low")).where(F.col("n") == k).collect():  # a row a query
+            floors[r.query] = r.low
+        sent_more = spark.sparkContext.broadcast((sent.value, idf, queries, floors))
+        found = found.unionByName(parts.where("not seed").drop("seed").mapInArrow(_search(sent_more, mean, k), _FOUND))
+    names = spark.createDataFrame(list(enumerate(items)), "query long, item_id long")
+    best(found, k).join(bounded(names, len(items), 32), "query").select("item_id", "doc_id", "score", "rank").write.mode("append").parquet(to)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
@@ -184,24 +275,31 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "d
     * repeated rows: documents each by itself; queries each with its own ranks;
     * null ids are carried; empty tables give an empty result; other columns, of any name, are not read.
     """
+    spark = docs.sparkSession
     table, rid = numbered(docs)
-    work = id_and_text(table, rid, id_col, text_col)
-    asked = queries.select(column(queries, query_id).cast("long").alias("item_id"), column(queries, query_text).cast("string").alias("text"))
-    blocks, block = [], []
-    for row in asked.toLocalIterator():
-        block.append((row.item_id, terms(row.text)))
-        if len(block) == BLOCK_QUERIES:
-            blocks.append(_block(work, block, k))
-            block = []
-    if block or not blocks:
-        blocks.append(_block(work, block, k))
-    result = blocks[0]
-    for more in blocks[1:]:
-        result = result.unionByName(more)
-    return result
-
-
-def oracle(k: int = TOP_K) -> str:
+    at, to = scratch(spark, "index"), scratch(spark, "found")
+    id_and_text(table, rid, id_col, text_col).mapInArrow(_index(SHARD_DOCS), _INDEX).write.parquet(at)
+    index = spark.read.schema(_INDEX).parquet(at)
+    shards, n, words = index.agg(F.count("*"), F.sum(F.size("rid")), F.sum("words")).first()
+    spark.createDataFrame([], _RESULT).write.parquet(to)
+    if shards:
+        seeds = max(1, int(np.sqrt(shards)))
+        asked = queries.select(column(queries, query_id).cast("long").alias("item_id"), column(queries, query_text).cast("string").alias("text")).where("text is not null")
+        run = lambda items, texts: _block(index, seeds, shards, n, words / n, items, texts, k, to)
+        items, texts, size = [], [], 0
+        for row in asked.toLocalIterator():
+            if items and (len(items) == BLOCK_QUERIES or size + len(row.text) > BLOCK_BYTES):
+                run(items, texts)
+                items, texts, size = [], [], 0
+            items.append(row.item_id)
+            texts.append(row.text)
+            size += len(row.text)
+        if items:
+            run(items, texts)
+    return spark.read.schema(_RESULT).parquet(to)
+
+
+def oracle(k: int = TOP_K, queries: str = "select doc_id as item_id, text from documents where doc_id % 50 = 0") -> str:
     """The same by scoring every document that shares a term, in SQL."""
     quoted = PUNCTUATION.replace("'", "''")
     split = f"string_split(translate(lower(text), '{quoted}', '{' ' * len(PUNCTUATION)}'), ' ')"
@@ -212,7 +310,7 @@ def oracle(k: int = TOP_K) -> str:
     s as (select count(*) as docs, sum(n) / count(*) as mean from l),
     f as (select doc_id, t, count(*) as tf from w group by doc_id, t),
     df as (select t, count(*) as df from f group by t),
-    q as (select item_id, t, count(*) as times from (select item_id, unnest({split}) as t from benchmark) where t <> '' group by item_id, t),
+    q as (select item_id, t, count(*) as times from (select item_id, unnest({split}) as t from ({queries})) where t <> '' group by item_id, t),
     p as (select item_id, f.doc_id, times * cast(floor({SCALE} * (ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * n / mean)))) + 0.5) as bigint) as points
           from q join f on q.t = f.t join df on q.t = df.t join l on f.doc_id = l.doc_id, s),
     r as (select item_id, doc_id, sum(points) as score from p group by item_id, doc_id),

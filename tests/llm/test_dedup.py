@@ -99,6 +99,29 @@ def test_equal_fingerprints_alone_are_no_duplicates(spark, monkeypatch):
     assert exact_dedup.exact_duplicates(rows).count() == 0
 
 
+@given(st.lists(st.integers(0, (1 << 33) - 1), min_size=1))
+def test_packed_row_numbers(values):
+    assert exact_dedup._unpacked(exact_dedup._packed(np.array(values, np.int64))).tolist() == values
+
+
+def test_different_texts_of_one_digest_are_no_duplicates(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"t{i % 30}") for i in range(40)] + [(None, "t3")], "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "_digest", lambda text: F.unhex(F.lit("00")))
+    found = {(r.doc_id, r.duplicate_of) for r in exact_dedup.exact_duplicates(rows).collect()}
+    assert found == {(30 + i, i) for i in range(10)} | {(None, 3)}
+
+
+def test_copies_of_a_frequent_text_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i, "" if i % 3 else f"t{i % 60}") for i in range(300)], "doc_id long, text string")
+    first = {}
+    for i in range(300):
+        first.setdefault("" if i % 3 else f"t{i % 60}", []).append(i)
+    want = {(i, own[0]) for own in first.values() for i in own[1:]}
+    found = [(r.doc_id, r.duplicate_of) for r in exact_dedup.exact_duplicates(rows).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=300, unique=True), st.data())
 def test_cuckoo_filter(keys, data):
