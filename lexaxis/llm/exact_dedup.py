@@ -4,7 +4,9 @@ Each file split sorts its texts' fingerprints, cuts them by owner (a range of
 the fingerprint space) and sends the gaps, Golomb-coded. An owner counts the
 fingerprints of all senders and answers each with a bitmap: which of its
 fingerprints, in their order, occur more than once. Only the rows so marked are
-suspects; they alone are shuffled, and grouped by their whole text.
+suspects. Their texts alone are shuffled, and compared byte for byte: by digest,
+the least and the greatest text of a group must be the same one, so that copies
+collapse before the shuffle however many there are.
 """
 
 from __future__ import annotations
@@ -20,46 +22,56 @@ from lexaxis.llm.common import bounded, id_and_text, numbered, settled
 
 #: Bits of a fingerprint that are exchanged. A chance match only makes a suspect more.
 FINGERPRINT_BITS = 48
+#: Fingerprints that an owner is meant to get; more rows make more owners.
+OWNER_ROWS = 1 << 20
+#: Copies of one text that are joined with their first by one task.
+HOT_ROWS = 100_000
 
 _ROW_BITS = 33
 
 
 def golomb_encode(sorted_values: np.ndarray, span: int) -> tuple[int, bytes]:
-    """(parameter k, code): gaps of ascending values below `span`, in Golomb code of modulus 2**k."""
+    """(parameter k, code): gaps of ascending values below `span`, in Golomb code of modulus 2**k.
+
+    The unary quotients come first, then the remainders of k bits, so that both are decoded as arrays.
+    """
     n = len(sorted_values)
     gaps = np.diff(sorted_values.astype(np.uint64), prepend=np.uint64(0))
     k = max(0, int(np.log2(max(1.0, 0.69 * span / max(n, 1)))))
-    quotient = (gaps >> np.uint64(k)).astype(np.int64)
-    start = np.cumsum(quotient + 1 + k) - (quotient + 1 + k)
-    bits = np.zeros(int((quotient + 1 + k).sum()), np.uint8)
-    ones = np.repeat(start, quotient) + np.arange(int(quotient.sum())) - np.repeat(np.cumsum(quotient) - quotient, quotient)
-    bits[ones] = 1
-    for b in range(k):
-        bits[start + quotient + 1 + b] = (gaps >> np.uint64(k - 1 - b)).astype(np.uint8) & 1
-    return k, np.packbits(bits).tobytes()
+    unary = np.ones(int((gaps >> np.uint64(k)).sum()) + n, np.uint8)
+    unary[np.cumsum((gaps >> np.uint64(k)).astype(np.int64) + 1) - 1] = 0
+    places = np.arange(k - 1, -1, -1, dtype=np.uint64)
+    rest = ((gaps[:, None] >> places) & np.uint64(1)).astype(np.uint8)
+    return k, np.array([len(unary)], np.int64).tobytes() + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()
 
 
 def golomb_decode(n: int, k: int, code: bytes) -> np.ndarray:
     """The `n` ascending values of a code."""
     if n == 0:
         return np.zeros(0, np.uint64)
-    bits = np.unpackbits(np.frombuffer(code, np.uint8))
-    zeros = np.flatnonzero(bits == 0)
-    next_zero = zeros[np.minimum(np.searchsorted(zeros, np.arange(len(bits) + 1)), len(zeros) - 1)].tolist()
-    at, ends = 0, []
-    starts = []
-    for _ in range(n):
-        end = next_zero[at]
-        starts.append(at)
-        ends.append(end)
-        at = end + 1 + k
-    end = np.array(ends)
-    gaps = (end - np.array(starts)).astype(np.uint64)
+    size = int(np.frombuffer(code, np.int64, 1)[0])
+    raw = np.frombuffer(code, np.uint8, offset=8)
+    zeros = np.flatnonzero(np.unpackbits(raw[: -(-size // 8)], count=size) == 0)
+    gaps = (np.diff(zeros, prepend=-1) - 1).astype(np.uint64)
+    rest = np.unpackbits(raw[-(-size // 8) :], count=n * k).reshape(n, k)
     for b in range(k):
-        gaps = (gaps << np.uint64(1)) | bits[end + 1 + b].astype(np.uint64)
+        gaps = (gaps << np.uint64(1)) | rest[:, b].astype(np.uint64)
     return np.cumsum(gaps, dtype=np.uint64)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """A byte for the width, then the numbers in that many bytes each, the low ones first."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    each = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, raw[0])
+    out = np.zeros((len(each), 8), np.uint8)
+    out[:, : raw[0]] = each
+    return out.view("<i8").ravel()
+
+
 def _send(owner_bits: int):
     low = FINGERPRINT_BITS - owner_bits
 
@@ -78,7 +90,7 @@ def _send(owner_bits: int):
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 value = fp[mine[s:e]] & np.uint64((1 << low) - 1)
                 k, code = golomb_encode(value, 1 << low)
-                rows.append((int(split), int(owner[s]), int(e - s), k, code, (rid[mine[s:e]] & ((1 << _ROW_BITS) - 1)).tobytes()))
+                rows.append((int(split), int(owner[s]), int(e - s), k, code, _packed(rid[mine[s:e]] & ((1 << _ROW_BITS) - 1))))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["split", "owner", "n", "k", "code", "rows"])
 
     return run
@@ -96,7 +108,7 @@ def _answer(table: pa.Table) -> pa.Table:
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for split, rows, twice in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            index = np.frombuffer(rows, np.int64)
+            index = _unpacked(rows)
             marked = np.unpackbits(np.frombuffer(twice, np.uint8), count=len(index)).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array(index[marked] | (split << _ROW_BITS))], ["rid"])
 
@@ -121,10 +133,31 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     table, rid = numbered(docs)
     work = id_and_text(table, rid, id_col, text_col).where("text is not null")
-    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.count() // OWNER_ROWS)
     found = settled(suspects(work.select("rid", F.xxhash64("text").alias("fp")), max(1, (owners - 1).bit_length())))
-    mine = work.join(bounded(found, found.count(), 24), "rid", "left_semi")
+    mine = work.join(bounded(found, found.count(), 24), "rid", "left_semi").withColumn("digest", _digest("text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    groups = mine.groupBy("text").agg(F.array_sort(F.collect_list(order)).alias("rows")).where("size(rows) > 1").select("rows")
-    pairs = groups.select(F.col("rows")[0].doc_id.alias("duplicate_of"), F.explode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("row"))
-    return pairs.select(F.col("row.doc_id").alias("doc_id"), "duplicate_of")
+    same = settled(mine.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.min(order).alias("first"), F.count("*").alias("n")).select("digest", "first", "n", (F.col("low") == F.col("high")).alias("one")))
+    pairs = _with_first(mine.select("digest", "doc_id", "rid"), same.where("one and n > 1"))
+    if same.where("not one").isEmpty():
+        return pairs
+    # different texts of one digest: by the texts themselves
+    mixed = mine.join(same.where("not one").select("digest"), "digest", "left_semi").withColumn("digest", F.encode("text", "utf-8"))
+    return pairs.unionByName(_with_first(mixed.select("digest", "doc_id", "rid"), settled(mixed.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"))))
+
+
+def _digest(text: str):
+    return F.unhex(F.md5(text))
+
+
+def _with_first(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, duplicate_of) of the rows (digest, doc_id, rid) that aren't the first of their group; rows of a text that is very frequent are spread."""
+    hot = groups.where(F.col("n") > HOT_ROWS).select("digest", F.ceil(F.col("n") / HOT_ROWS).alias("parts"))
+    hot = settled(hot)
+    if hot.isEmpty():
+        joined = rows.join(groups, "digest")
+    else:
+        spread = rows.join(bounded(hot, hot.count(), 48), "digest", "left").withColumn("part", F.pmod("rid", F.coalesce("parts", F.lit(1)))).drop("parts")
+        copies = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / HOT_ROWS) - 1)))
+        joined = spread.join(copies, ["digest", "part"])
+    return joined.where("rid <> first.rid").select("doc_id", F.col("first.doc_id").alias("duplicate_of"))
