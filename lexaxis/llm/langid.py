@@ -11,12 +11,13 @@ response of a filter is then a sum of one or two table rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexaxis.llm.common import column, id_and_text, numbered
@@ -26,9 +27,8 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: Bound of the labelled sample, in documents, and of the excerpt of each, in characters.
-TRAIN_DOCS = 3000
-TRAIN_CHARS = 768
+#: Bound of the labelled sample, in documents, whose texts count whole. Each label has an equal part of it, one document at least.
+TRAIN_DOCS = 1200
 #: Least mean probability of all languages together; below it a document is of no language.
 MIN_CONFIDENCE = 0.2
 UNKNOWN = "und"
@@ -99,7 +99,7 @@ class ByteCNN:
             np.add.at(grad["embed"], seen, into)
         return grad
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 4e-3) -> ByteCNN:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 3, batch: int = 128, rate: float = 4e-3) -> ByteCNN:
         """Adam over shuffled batches; classes weigh alike however many windows each has."""
         random = np.random.default_rng(self.seed)
         share = np.bincount(y, minlength=len(self.labels)).astype(np.float32)
@@ -156,35 +156,38 @@ def noise(windows: int, seed: int = 0) -> np.ndarray:
     return np.array(made, np.uint8).reshape(-1, WINDOW)
 
 
-def _sample(part: DataFrame, text: Column, lang: Column, mark: Column, place: Column, max_docs: int, max_chars: int) -> list:
-    cut = part.select(lang.cast("string").alias("lang"), text.substr(place.cast("int"), F.lit(max_chars)).alias("part"), mark.alias("mark"))
-    return cut.orderBy("mark", "part", "lang").limit(max_docs).collect()
-
-
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> ByteCNN | None:
+def _sample(docs: DataFrame, lang: Column, text: Column, max_docs: int) -> list:
+    """Rows (lang, text): of each label the different texts of least hash, an equal number each."""
+    labelled = docs.where(lang.isNotNull() & text.rlike("[^ ]")).select(lang.cast("string").alias("lang"), F.xxhash64(text).alias("mark"), text.cast("string").alias("text"))
+    kinds = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()}  # a row for each class
+    if not kinds:
+        return []
+    quota, share = max(1, max_docs // len(kinds)), 4
+    while True:
+        # the hashes are even over 64 bits: below the limit there are some times the quota of a label's texts
+        below = {k: min((1 << 63) - 1, (1 << 64) * share * quota // max(n, 1) - (1 << 63)) for k, n in kinds.items()}
+        limit = F.create_map(*(F.lit(x) for pair in below.items() for x in pair))
+        part = labelled.where(F.col("mark") <= limit[F.col("lang")])
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+        rows = part.groupBy("lang", "mark").agg(F.min("text").alias("text")).withColumn("place", place).where(F.col("place") <= quota).orderBy("lang", "mark").select("lang", "text").collect()
+        had = Counter(r.lang for r in rows)
+        if all(had[k] == quota or below[k] == (1 << 63) - 1 for k in kinds):
+            return rows
+        share *= 16  # the number of different texts was estimated too high
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> ByteCNN | None:
     """A network for the languages that `docs` is labelled with, or None if no row is labelled.
 
-    The sample is bounded by `max_docs` labelled rows, those least by a hash of
-    the text, and by an excerpt of `max_chars` of each at a place chosen by hash.
-    Rows without label or text don't count. They are counted first, so that only
-    a few times `max_docs` of them, the least by hash, are sent and sorted.
+    The sample is bounded by `max_docs` labelled documents, or one for each label
+    if there are more labels than that: of each label, an equal number of
+    different texts, those of least hash, whole. Rows without label or text don't count.
     """
-    text, lang = column(docs, text_col), column(docs, lang_col)
-    mark = F.xxhash64(text)
-    place = F.pmod(mark, F.greatest(F.length(text) - max_chars, F.lit(1))) + 1
-    labelled = docs.where(lang.isNotNull() & text.rlike("[^ ]"))
-    n, share = labelled.count(), 4
-    while True:
-        below = (1 << 64) * share * max_docs // max(n, 1) - (1 << 63)  # the hashes are even over 64 bits
-        part = labelled if below >= 1 << 63 else labelled.where(mark < F.lit(below))
-        rows = _sample(part, text, lang, mark, place, max_docs, max_chars)
-        if len(rows) >= min(n, max_docs) or below >= 1 << 63:
-            break
-        share *= 16  # few different texts: copies have one hash
+    rows = _sample(docs, column(docs, lang_col), column(docs, text_col), max_docs)
     if not rows:
         return None
     labels = sorted({r.lang for r in rows})
-    raw = [r.part.encode() for r in rows]
+    raw = [r.text.encode() for r in rows]
     x, doc, size = cut(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(b) for b in raw])])
     y = np.array([labels.index(r.lang) for r in rows])[doc]
     enough = (size >= WINDOW // 2) | (np.bincount(doc, minlength=len(rows))[doc] == 1)
