@@ -8,7 +8,8 @@ signature is the lesser of its two halves' ones. Each signature value is a band
 of its own (one row): with a containment of at least THRESHOLD a template shares
 a band with its window with a probability of at least 1 - (1 - J)**BANDS for
 their Jaccard similarity J, which guarantee() gives per template. What is
-retrieved is verified on the shingles themselves.
+retrieved is verified on the shingles themselves. A license has several notices:
+the standard text or header, and short forms.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexaxis.llm.common import id_and_text, numbered
+from lexaxis.llm.license_texts import TEMPLATES
 from lexaxis.llm.textbatch import buffer_of, hash_spans, mix, slices, words
 
 SHINGLE = 3
@@ -28,26 +30,13 @@ STRIDE = 4
 BANDS = 48
 THRESHOLD = 0.8
 
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
-    "mit": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-}
-
 _PLAIN = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
     _PLAIN[_b] = _b
 for _b in range(65, 91):
     _PLAIN[_b] = _b + 32
+#: Places of a band's bit table.
+_BITS = 1 << 15
 _FACTOR = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = mix(np.arange(1001, BANDS + 1001, dtype=np.uint64))
 
@@ -93,29 +82,31 @@ def guarantee(text: str, threshold: float = THRESHOLD) -> float:
 class Scanner:
     """The templates' shingles by level, and a bit table of their bands."""
 
-    def __init__(self, templates: dict[str, str], threshold: float) -> None:
-        self.threshold, self.names = threshold, sorted(templates)
+    def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float) -> None:
+        self.threshold = threshold
+        notices = [(name, text) for name in sorted(templates) for text in templates[name]]
+        self.names = [name for name, _ in notices]
         self.levels: dict[int, list[int]] = {}
         self.shingles = []
-        for i, name in enumerate(self.names):
-            count = len(plain_words(templates[name]))
+        for i, (name, text) in enumerate(notices):
+            count = len(plain_words(text))
             if count < SHINGLE:
-                raise ValueError(f"the template {name} has fewer than {SHINGLE} words")
-            raw = np.frombuffer(templates[name].encode(), np.uint8)
+                raise ValueError(f"a notice of {name} has fewer than {SHINGLE} words")
+            raw = np.frombuffer(text.encode(), np.uint8)
             self.shingles.append(np.unique(shingled(raw, np.array([0, len(raw)]))[0]))
             self.levels.setdefault(level_of(count), []).append(i)
         self.bands = {level: np.array([[(self.shingles[i] * _FACTOR[b] + _SHIFT[b]).min() for b in range(BANDS)] for i in own]) for level, own in self.levels.items()}
         self.table = {}
         for level, bands in self.bands.items():
-            bits = np.zeros((BANDS, 4096), bool)
+            bits = np.zeros((BANDS, _BITS), bool)
             for b in range(BANDS):
-                bits[b, (bands[:, b] >> np.uint64(3)).astype(np.int64) & 4095] = True
+                bits[b, (bands[:, b] >> np.uint64(3)).astype(np.int64) & (_BITS - 1)] = True
             self.table[level] = bits
 
-    def scan(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, int]]:
-        """(document, template) -> (greatest containment, first word of the first window that has it)."""
+    def scan(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, str], tuple[float, int]]:
+        """(document, license) -> (greatest containment, first word of the first window that has it)."""
         value, doc, position = shingled(data, offsets)
-        found: dict[tuple[int, int], tuple[float, int]] = {}
+        found: dict[tuple[int, str], tuple[float, int]] = {}
         if not len(value):
             return found
         block = position // STRIDE
@@ -134,19 +125,18 @@ class Scanner:
             follow = np.where(pair, np.arange(len(of)) + 1, np.arange(len(of)))
             hit = np.zeros(len(of), bool)
             for b in range(BANDS):
-                block_hit = self.table[level][b, (minima[b] >> np.uint64(3)).astype(np.int64) & 4095]
+                block_hit = self.table[level][b, (minima[b] >> np.uint64(3)).astype(np.int64) & (_BITS - 1)]
                 hit |= block_hit  # the window's minimum is that of one of its halves
             for w in np.flatnonzero(hit | hit[follow]):
                 signature = np.minimum(minima[:, w], minima[:, follow[w]])
-                for row, i in enumerate(self.levels[level]):
-                    if not (signature == self.bands[level][row]).any():
-                        continue
+                for row in np.flatnonzero((self.bands[level] == signature).any(axis=1)).tolist():
+                    i = self.levels[level][row]
                     inside = value[start[w] : end[follow[w]]]
                     share = float(np.isin(self.shingles[i], inside).mean())
-                    key = (int(of[w]), i)
-                    if share >= self.threshold and share > found.get(key, (0.0, 0))[0]:
-                        found[key] = (share, int(number[w]) * (STRIDE << level))
-        return found
+                    key, first = (int(of[w]), self.names[i]), int(number[w]) * (STRIDE << level)
+                    if share >= self.threshold and (share, -first) > found.get(key, (0.0, 0)):
+                        found[key] = (share, -first)
+        return {key: (share, -first) for key, (share, first) in found.items()}
 
 
 def _scan_batches(scanner: Scanner):
@@ -155,9 +145,9 @@ def _scan_batches(scanner: Scanner):
             data, offsets = buffer_of(batch.column(1))
             rows, names, shares, firsts = [], [], [], []
             for i, j in slices(offsets):
-                for (doc, template), (share, first) in sorted(scanner.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).items()):
+                for (doc, name), (share, first) in sorted(scanner.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).items()):
                     rows.append(i + doc)
-                    names.append(scanner.names[template])
+                    names.append(name)
                     shares.append(round(share, 4))
                     firsts.append(first)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(firsts, pa.int64())], ["doc_id", "license", "containment", "first_word"])
@@ -165,17 +155,18 @@ def _scan_batches(scanner: Scanner):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, containment, first_word) for each document and template that a window of it contains.
+def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, license, containment, first_word) for each document and license of which a window contains a notice.
 
-    `containment` is the share of the template's distinct shingles in the window
-    that has most of them, at least `threshold`; `first_word` is where the first
-    such window begins.
+    `templates` has the notices of each license. `containment` is the share of a
+    notice's distinct shingles in the window that has most of them, at least
+    `threshold`; `first_word` is where the first such window begins. A notice of
+    three to five words must stand there word for word.
 
     * null, empty or short text (under three words): no results;
     * very long text: all its windows count;
     * repeated rows and null doc_ids: results of their own, like any row;
-    * ties: a document with several templates has a row for each; of equal windows the first counts;
+    * ties: a document with several licenses has a row for each; of equal windows, and of equal notices, the first counts;
     * empty table: an empty result; other columns, of any name, are not read.
     """
     table, rid = numbered(docs)
