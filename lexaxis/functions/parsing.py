@@ -25,3 +25,13 @@ def pointer_parse(cpos: Column, head: Column, base: int = 1, start: Column | Non
     """
     h = F.when(head.rlike(r"^[+-]?[0-9]+$"), head.try_cast("bigint"))
     return F.when(h == 0, cpos).when(h.isNotNull(), (cpos if start is None else start) + h - base)
+
+
+def _integer(s: Column) -> Column:
+    return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
+
+
+def pointer_from(cpos: Column, head: Column, base: Column) -> Column:
+    """The position that a head leads to, where the token itself has the number `base` in its unit: 0 is the token, no number nowhere."""
+    h, b = _integer(head), _integer(base)
+    return F.when((h == 0) & b.isNotNull(), cpos).when(h.isNotNull() & b.isNotNull(), cpos + (h - b))

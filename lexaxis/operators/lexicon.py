@@ -18,8 +18,9 @@ def build(tokens: DataFrame) -> DataFrame:
     hapaxes of a large corpus are numbered by many tasks.
     """
     from lexaxis.operators.numbering import block_of, numbered
+    from lexaxis.sources.shared import settled
 
-    types = tokens.groupBy(F.col("word").alias("str")).agg(F.count("*").alias("freq"), F.min("cpos").alias("first_cpos"))
+    types = settled(tokens.groupBy(F.col("word").alias("str")).agg(F.count("*").alias("freq"), F.min("cpos").alias("first_cpos")))
     types = types.withColumns({"rank": -F.col("freq"), "block": block_of(F.col("first_cpos"), 1 << 20)})
     return numbered(types, ["rank", "block"], ["first_cpos"], "id").select("id", "str", "freq", "first_cpos")
 
@@ -87,6 +88,23 @@ def get_all(lex: DataFrame, ids: list[int]) -> DataFrame:
     return F.broadcast(wanted).join(lex.where(F.col("id").isin(*set(ids)) if ids else F.lit(False)), "id").select("rank", "id", "str")
 
 
+def matching(lex: DataFrame, pattern) -> DataFrame:
+    """Types that any predicate holds for: a function of the string's Column, or a string or character to be contained."""
+    return lex.where(pattern(F.col("str")) if callable(pattern) else F.col("str").contains(pattern))
+
+
+class Regex:
+    """A checked expression that matches as a whole; `optimised` tells whether it became a plain string predicate."""
+
+    def __init__(self, spark: SparkSession, pattern: str, ignore_case: bool = False) -> None:
+        self.spark, self.pattern, self.ignore_case = spark, checked(spark, pattern), ignore_case
+        literal = pattern.removeprefix(".*").removesuffix(".*")
+        self.optimised = not ignore_case and _LITERAL.fullmatch(literal) is not None and (bool(literal) or literal == pattern)
+
+    def is_match(self, value):
+        return full_match(self.spark, value, self.pattern, self.ignore_case)
+
+
 def sort_ranks(lex: DataFrame) -> DataFrame:
     """(id, str, sort): each type's place in byte order.
 

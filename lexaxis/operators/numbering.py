@@ -2,7 +2,8 @@
 
 Rows fall into blocks that ascend with the order wanted. Totals by block are few
 and are summed up first; within a block a window does the rest. The rows
-themselves are shuffled once, by block.
+themselves are shuffled once, by block. Where positions make no blocks of even
+size, in_blocks() makes them of the order itself.
 """
 
 from __future__ import annotations
@@ -38,3 +39,13 @@ def running_totals(df: DataFrame, blocks: list[str], order: list[str], totals: d
 def numbered(df: DataFrame, blocks: list[str], order: list[str], name: str) -> DataFrame:
     """`df` with dense numbers from 0 in the order of (blocks, order)."""
     return running_totals(df, blocks, order, {name: F.lit(1).cast("long")})
+
+
+def in_blocks(df: DataFrame, order: list[Column], name: str = "block") -> DataFrame:
+    """`df` range-partitioned by `order`, with its partition's number; written to the shared folder, since the borders are those of a sample.
+
+    Keys may be sparse, repeated or null: if `order` ends with a row number, every block is of bounded size.
+    """
+    from lexaxis.sources.shared import settled
+
+    return settled(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))

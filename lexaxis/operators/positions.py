@@ -26,3 +26,10 @@ def windows(df: DataFrame, spans: DataFrame) -> DataFrame:
     """Each span (window_id, start, end) exploded to its positions, which are then joined by equality."""
     inside = spans.where("start < end").select("window_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("cpos"))
     return inside.join(df, "cpos")
+
+
+def batched(df: DataFrame, n: int) -> DataFrame:
+    """`df` with `batch`: rows of n positions in a row, of which the last may have fewer."""
+    if n < 1:
+        raise ValueError("a batch has one row at least")
+    return df.withColumn("batch", F.floor(F.col("cpos") / n))

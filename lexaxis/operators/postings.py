@@ -53,6 +53,11 @@ def frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("word_id").agg(F.count("*").alias("freq"))
 
 
-def inverted_index(tokens: DataFrame) -> DataFrame:
-    """(word_id, freq, cpos_list) with ascending positions."""
-    return tokens.groupBy("word_id").agg(F.count("*").alias("freq"), F.sort_array(F.collect_list("cpos")).alias("cpos_list"))
+#: Positions of one block of the inverted index.
+INDEX_BLOCK = 1 << 20
+
+
+def inverted_index(postings: DataFrame) -> DataFrame:
+    """(word_id, block, n, cpos_list): ascending positions by type and block of positions, so that no row grows with the corpus."""
+    cut = postings.select("word_id", block_of(F.col("cpos"), INDEX_BLOCK).alias("block"), "cpos")
+    return cut.groupBy("word_id", "block").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("cpos")).alias("cpos_list"))

@@ -11,7 +11,7 @@ from lexaxis.sources import vrt
 #: Regular expressions that match as a whole; the same text means the same in Spark and in the oracle.
 SUITE = [
     "an.+", "(der|die|das)", ".+able", ".+(heit|ness|tion)s?", ".*io.*", ".+(ung|heit|keit)", r"\p{Lu}.*", ".*[äöü].*", "the(re|n)?", "[0-9]+",
-    ".*(er.+er|en.+en).*", ".*tion[.,]", "c.t", "harbou?r", "(sing|sang|sung)", ".*(st){2,}.*", "[aeiou]{3,}", r"\p{Lu}{2,4}", "(.*heit|.*heiten)", ".*é.+",
+    ".*(er.+er|en.+en).*", ".*tion[.,]", "c.t", "harbou?r", "(sing|sang|sung)", ".*(st){2,}.*", "[aeiou]{3,}", r"\p{Lu}{2,4}", "(.*heit|.*heiten)", ".*é.+", "[^aeiouy]+[.,;]?", "(un|in|im).+(able|ible)",
 ]
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
 _RE = ".+(ung|heit|keit)"
@@ -51,9 +51,9 @@ def kwic_within_lines(c):
     return concordance.kwic(c.table("tokens"), postings.of_type(c.table("postings"), 25), 3, within=c.table("seg_line"))
 
 
-@query("select b.cpos, b.word from tok a join tok b on b.cpos = a.cpos + 1 where a.word = 'the' and starts_with(b.word, 'th')")
+@query("select cpos, word from (select cpos, word, lag(word) over (order by cpos) as before from t0) where before = 'the' and starts_with(word, 's')")
 def bigram_filter(c):
-    return concordance.followers(c.table("tokens"), "the", "th")
+    return concordance.followers(c.table("tokens"), "the", "s")
 
 
 @query("select h.cpos as hit, ln.seg_id, string_agg(case when t.cpos = h.cpos then '[' || t.word || ']' else t.word end, ' ' order by t.cpos) as text from tok h join ln on h.doc_id = ln.doc_id and h.line_no = ln.line_no join tok t on t.doc_id = ln.doc_id and t.line_no = ln.line_no where h.word_id = 40 group by h.cpos, ln.seg_id")
@@ -86,24 +86,29 @@ def regex_suite(c):
     return each.agg(F.count_if("t.hit").alias("types"), F.coalesce(F.sum(F.when(F.col("t.hit"), F.col("freq"))), F.lit(0)).alias("tokens"))
 
 
-def _keys(c, step: int, add: int):
-    """As many keys as a tenth of the corpus, spread over it."""
+#: A prime: multiples of it visit every position of a corpus whose length it doesn't divide, in scattered order.
+_STEP = 7919
+_SCATTERED = f"(i * {_STEP} + 13) % (select count(*) from tok)"
+
+
+def _keys(c):
+    """As many keys as there are positions, scattered over them: each position once, unless _STEP divides their number."""
     n = len(c["tokens"])
-    return c.spark.range(n // 10).select(F.col("id").alias("i"), ((F.col("id") * step + add) % n).alias("cpos"))
+    return c.spark.range(n).select(F.col("id").alias("i"), ((F.col("id") * _STEP + 13) % n).alias("cpos"))
 
 
-@query("select i, k.cpos, word from (select i, (i * 7919 + 13) % (select count(*) from tok) as cpos from range((select count(*) // 10 from tok)) as r(i)) k join tok using (cpos)")
+@query(f"select i, k.cpos, word from (select i, {_SCATTERED} as cpos from range((select count(*) from tok)) as r(i)) k join t0 using (cpos)")
 def access_random(c):
-    return positions.gather(c.table("tokens").select("cpos", "word"), _keys(c, 7919, 13)).select("i", "cpos", "word")
+    return positions.gather(c.table("tokens").select("cpos", "word"), _keys(c)).select("i", "cpos", "word")
 
 
-_WINDOWS = 'select i as window_id, (i * 7919 + 13) % n as "start", least(n, (i * 7919 + 13) % n + 20 + (i * 31) % 30) as "end" from (select count(*) as n from tok), range((select count(*) // 350 from tok)) as r(i)'
+_WINDOWS = 'select i as window_id, (i * 7919 + 13) % n as "start", least(n, (i * 7919 + 13) % n + 20 + (i * 31) % 30) as "end" from (select count(*) as n from tok), range((select count(*) // 35 from tok)) as r(i)'
 
 
 def _windows(c):
     n = len(c["tokens"])
     start = (F.col("id") * 7919 + 13) % n
-    return c.spark.range(n // 350).select(F.col("id").alias("window_id"), start.alias("start"), F.least(F.lit(n), start + 20 + (F.col("id") * 31) % 30).alias("end"))
+    return c.spark.range(n // 35).select(F.col("id").alias("window_id"), start.alias("start"), F.least(F.lit(n), start + 20 + (F.col("id") * 31) % 30).alias("end"))
 
 
 @query(f'select window_id, cpos, word from ({_WINDOWS}) w join tok on cpos >= w."start" and cpos < w."end"')
@@ -121,16 +126,58 @@ def access_alternating(c):
     return rows.groupBy("window_id").agg(F.min("cpos").alias("first"), F.max("cpos").alias("last"), ordered.alias("words"))
 
 
-@query("select i, d, h.cpos, word from (select i, d, (i * 7919 + 13) % n + d as cpos from (select count(*) as n from tok), range((select count(*) // 100 from tok)) as r(i), (values (-50), (-10), (-3), (0), (1), (7), (42)) as o(d)) h join tok using (cpos)")
+@query("select i, d, h.cpos, word from (select i, d, (i * 7919 + 13) % n + d as cpos from (select count(*) as n from tok), range((select count(*) // 7 from tok)) as r(i), (values (-50), (-10), (-3), (0), (1), (7), (42)) as o(d)) h join tok using (cpos)")
 def access_local_jumps(c):
     n = len(c["tokens"])
-    heads = c.spark.range(n // 100).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, (-50, -10, -3, 0, 1, 7, 42)))).alias("d"), ((F.col("id") * 7919 + 13) % n).alias("head"))
+    heads = c.spark.range(n // 7).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, (-50, -10, -3, 0, 1, 7, 42)))).alias("d"), ((F.col("id") * 7919 + 13) % n).alias("head"))
     return positions.gather(c.table("tokens").select("cpos", "word"), heads.select("i", "d", (F.col("head") + F.col("d")).alias("cpos"))).select("i", "d", "cpos", "word")
 
 
-@query('select i, k.cpos, ln.seg_id from (select i, (i * 7919 + 13) % (select count(*) from tok) as cpos from range((select count(*) // 10 from tok)) as r(i)) k asof join ln on k.cpos >= ln."start" where k.cpos < ln."end"')
+@query('select cpos // 35 as window_id, cpos, word from t0')
+def access_windows_sequential(c):
+    """Windows of 35 positions end to end over the whole corpus."""
+    n = len(c["tokens"])
+    start = F.col("id") * 35
+    spans = c.spark.range(-(-n // 35)).select(F.col("id").alias("window_id"), start.alias("start"), F.least(F.lit(n), start + 35).alias("end"))
+    return positions.windows(c.table("tokens").select("cpos", "word"), spans).select("window_id", "cpos", "word")
+
+
+@query(f'select i, k.cpos, ln.seg_id from (select i, {_SCATTERED} as cpos from range((select count(*) from tok)) as r(i)) k asof join ln on k.cpos >= ln."start" where k.cpos < ln."end"')
 def access_segment_lookup(c):
-    return segments.find_containing(_keys(c, 7919, 13), c.table("seg_line").select("seg_id", "start", "end")).select("i", "cpos", "seg_id")
+    return segments.find_containing(_keys(c), c.table("seg_line").select("seg_id", "start", "end")).select("i", "cpos", "seg_id")
+
+
+@query(f'select window_id, p.cpos, ln.seg_id from (select window_id, unnest(range("start", "end")) as cpos from ({_WINDOWS}) w) p asof join ln on p.cpos >= ln."start" where p.cpos < ln."end"')
+def access_segment_lookup_windows(c):
+    """The segment of every position of every window."""
+    inside = _windows(c).select("window_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("cpos"))
+    return segments.find_containing(inside, c.table("seg_line").select("seg_id", "start", "end")).select("window_id", "cpos", "seg_id")
+
+
+@query(f'select i, seg_id, "start", "end" from (select i, (i * {_STEP} + 13) % (select count(*) from ln) as seg_id from range((select count(*) from ln)) as r(i)) join ln using (seg_id)')
+def seg_random(c):
+    """Segments by number in scattered order."""
+    n = len(c["seg_line"])
+    keys = c.spark.range(n).select(F.col("id").alias("i"), ((F.col("id") * _STEP + 13) % n).alias("seg_id"))
+    return keys.join(c.table("seg_line").select("seg_id", "start", "end"), "seg_id").select("i", "seg_id", "start", "end")
+
+
+#: Lists of types by frequency: the ten most frequent, a list of words, and three bands.
+_BANDS = {
+    "top": "id < 10",
+    "mixed": "str in ('the', 'end', 'und', 'near', 'Haus', 'will', 'la', 'and', 'river', 'every', 'nothere')",
+    "often": "freq > 500",
+    "middle": "freq between 51 and 500",
+    "seldom": "freq between 5 and 50",
+}
+
+
+@query(" union all ".join(f"select '{band}' as band, cpos, word_id from tok where word_id in (select id from lex where {test})" for band, test in _BANDS.items()))
+def access_postings_bands(c):
+    """The positions of each list's types, merged: one pass over the postings for all lists."""
+    lists = F.array(*(F.when(F.expr(test), F.lit(band)) for band, test in _BANDS.items()))
+    types = c.table("lexicon").select(F.col("id").alias("word_id"), F.explode(F.array_compact(lists)).alias("band"))
+    return c.table("postings").join(types, "word_id").select("band", "cpos", "word_id")
 
 
 @query("select word_id, count(*) as n, cast(sum(pos_in_doc) as bigint) as places from tok where word_id in (select id from lex where freq between 5 and 50) group by word_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexaxis.functions.parsing import int_parse, pointer_parse, set_parse
+from lexaxis.functions.parsing import int_parse, pointer_from, pointer_parse, set_parse
 from lexaxis.operators import positions, segments, values
 from lexaxis.plans.registry import query
 from lexaxis.sources import axis
@@ -53,20 +53,16 @@ def seg_uncovered(c):
     return segments.uncovered(c.table("tokens").select("cpos"), c.table("seg_line").where("line_no < 2"))
 
 
-@query('select l.seg_id, r.seg_id as other from ln l join ln r on l.seg_id > r.seg_id and l."start" < r."end" and r."start" < l."end" and l.doc_id = r.doc_id')
+@query("""select 1000000000 + seg_id as seg_id, seg_id as other from ln where "end" - "start" > 40""")
 def seg_overlaps(c):
-    """Overlaps in the line layer: a valid layer has none."""
-    return segments.overlaps(c.table("seg_line"))
-
-
-@query('select cpos, cpos in (select "start" from ln) as at_start from tok where word_id < 20')
-def seg_start_flags(c):
-    return _start_flags(c, c.table("tokens").where("word_id < 20"))
+    """The line layer with each long line's second half once more: each such half overlaps its line, and nothing else does."""
+    lines = c.table("seg_line").select(*_SEG)
+    halves = lines.where(F.col("end") - F.col("start") > 40).select((F.col("seg_id") + 1_000_000_000).alias("seg_id"), F.expr("(start + end) div 2").alias("start"), "end")
+    return segments.overlaps(lines.unionByName(halves))
 
 
 @query('select cpos, cpos in (select "start" from ln) as at_start from tok')
-def seg_start_flags_all(c):
-    """The same for every position."""
+def seg_start_flags(c):
     return _start_flags(c, c.table("tokens"))
 
 
@@ -174,9 +170,18 @@ def ptr_encode(c):
     return rows.select("cpos", pointer_parse(F.col("cpos"), F.col("turn").cast("string"), 1, start).alias("head"))
 
 
-@query("select cpos, head from turns where head < 0 or head >= (select count(*) from turns)")
+@query("select cpos, cpos - conv_id % 7 * 10 as head from turns where cpos - conv_id % 7 * 10 < 0")
 def ptr_range_check(c):
-    return values.out_of_range(c.table("turns"), len(c["turns"])).select("cpos", "head")
+    """Heads put back by up to 60 positions: those that leave the layer are found."""
+    moved = c.table("turns").select("cpos", (F.col("cpos") - F.col("conv_id") % 7 * 10).alias("head"))
+    return values.out_of_range(moved, len(c["turns"])).select("cpos", "head")
+
+
+@query("select cpos, case when turn = 0 then cpos else cpos + (turn - (turn + 1)) end as head from turns")
+def ptr_from_column(c):
+    """Heads made absolute by a base that varies by row: the turn's own number, counted from 1."""
+    rows = c.table("turns")
+    return rows.select("cpos", pointer_from(F.col("cpos"), F.col("turn").cast("string"), (F.col("turn") + 1).cast("string")).alias("head"))
 
 
 @query("select cpos, head from turns where cpos = 9")
@@ -184,9 +189,9 @@ def ptr_head(c):
     return values.heads(c.table("turns"), 9)
 
 
-@query("select cpos from turns where head = 9")
+@query("select cpos from turns where head = 8")
 def ptr_tails(c):
-    return values.tails(c.table("turns"), 9)
+    return values.tails(c.table("turns"), 8)
 
 
 @query("select cpos, min(cpos) over (partition by conv_id) as root from turns")

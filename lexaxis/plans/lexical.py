@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexaxis.functions import codec
 from lexaxis.operators import lexicon, positions, postings
 from lexaxis.plans.registry import query
 from lexaxis.sources import axis, corpus
+from lexaxis.sources.shared import settled
 
 WORD, IDS = "the", [5, 17, 3, 5, 100]
 _LEX = ["id", "str", "freq"]
@@ -19,12 +21,17 @@ def layer_len(c):
     return c.manifest.groupBy("layer").agg(F.max("n").alias("n"))
 
 
-@query("select * from (values " + ", ".join(f"('{layer}', {'null' if base is None else repr(base)}, {len(v)}::bigint)" for layer, (base, v) in corpus.LAYOUT.items()) + ") as t(layer, base, variables)")
+@query("""select * from (values ('doc_tags', 'seg_doc', 1::bigint), ('events', null, 2::bigint), ('pages', null, 1::bigint), ('seg_doc', 'tokens', 4::bigint),
+          ('seg_line', 'tokens', 2::bigint), ('tokens', null, 4::bigint), ('turns', null, 3::bigint)) as t(layer, base, variables)""")
 def catalog_layers(c):
     return c.manifest.groupBy("layer", "base").agg(F.count("variable").alias("variables"))
 
 
-@query("select * from (values " + ", ".join(f"('{layer}', '{name}', '{kind}')" for layer, (_, v) in corpus.LAYOUT.items() for name, kind in v.items()) + ") as t(layer, variable, kind)")
+@query("""select layer, variable, kind from (values ('seg_doc', 'documents', 'doc_id,lang,source,n_chars'), ('turns', 'conversations', 'conv_id,turn'), ('events', 'events', 'event_type,user_id'), ('pages', 'pages', 'url')) as t(layer, tab, list),
+          (select table_name, column_name as variable, case when layer_of.kind is not null then layer_of.kind when data_type = 'VARCHAR' then 'indexed' else 'int' end as kind
+           from information_schema.columns left join (values ('pages', 'url', 'plain')) as layer_of(tab, col, kind) on table_name = tab and column_name = col) as c
+          where tab = table_name and list_contains(string_split(list, ','), variable)
+          union all select * from (values ('tokens', 'word', 'indexed'), ('tokens', 'doc_id', 'int'), ('tokens', 'line_no', 'int'), ('tokens', 'pos_in_doc', 'int'), ('seg_line', 'doc_id', 'int'), ('seg_line', 'line_no', 'int'), ('doc_tags', 'tags', 'set'), ('turns', 'head', 'ptr')) as t""")
 def catalog_attributes(c):
     return c.manifest.select("layer", "variable", "kind")
 
@@ -35,9 +42,11 @@ def catalog_properties(c):
     return named.select(F.explode(F.array(F.struct(F.lit("charset").alias("property"), F.lit("utf-8").alias("value")), F.struct(F.lit("languages").alias("property"), F.col("langs").alias("value")))).alias("r")).select("r.*")
 
 
-@query("select layer, base from (values ('seg_doc', 'tokens'), ('seg_line', 'tokens'), ('doc_tags', 'seg_doc')) as t(layer, base) where base not in ('tokens', 'seg_doc', 'seg_line', 'doc_tags', 'turns', 'events', 'pages')")
+@query("select * from (values ('orphan', 'lost'), ('seg_more', 'lost')) as t(layer, base)")
 def check_dangling_base(c):
-    return corpus.dangling_bases(c.manifest)
+    """The manifest with two more layers, on a base that no layer has: they are found, and no other."""
+    planted = c.spark.createDataFrame([("orphan", "lost"), ("seg_more", "lost"), ("seg_kept", "tokens")], "layer string, base string")
+    return corpus.dangling_bases(c.manifest.select("layer", "base").unionByName(planted))
 
 
 @query("select 'seg_doc' as layer, (select count(*) from seg) as n, (select count(*) from tags) as n_variable, (select count(*) from seg) = (select count(*) from tags) as fits")
@@ -49,14 +58,14 @@ def check_variable_length(c):
 @query("select id, str, freq, first_cpos from lex", plain=True)
 def build_lexicon(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return axis.type_table(docs, axis.document_spans(docs))
+    return axis.type_table(axis.tokens(docs, settled(axis.document_spans(docs))))
 
 
 @query("select cpos, word_id from tok", plain=True)
 def build_id_stream(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    spans = axis.document_spans(docs)
-    return axis.with_ids(axis.tokens(docs, spans), axis.type_table(docs, spans)).select("cpos", "word_id")
+    words = settled(axis.tokens(docs, axis.document_spans(docs)).select("cpos", "word"))
+    return axis.with_ids(words, axis.type_table(words)).select("cpos", "word_id")
 
 
 @query('select seg_id, "start", "end", doc_id from seg', plain=True)
@@ -64,10 +73,10 @@ def build_segmentation(spark, sf_dir):
     return axis.document_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("seg_id", "start", "end", "doc_id")
 
 
-@query("select word_id, count(*) as freq, string_agg(cpos, ',' order by cpos) as cpos_list from tok group by word_id")
+@query(f"select word_id, cpos // {postings.INDEX_BLOCK} as block, count(*) as n, string_agg(cpos, ',' order by cpos) as cpos_list from tok group by word_id, block")
 def build_inverted_index(c):
     index = postings.inverted_index(c.table("postings"))
-    return index.select("word_id", "freq", F.array_join(F.col("cpos_list").cast("array<string>"), ",").alias("cpos_list"))
+    return index.select("word_id", "block", "n", F.array_join(F.col("cpos_list").cast("array<string>"), ",").alias("cpos_list"))
 
 
 @query("select count(*) as tokens, count(distinct word) as types from tok")
@@ -140,9 +149,33 @@ def lex_suffix(c):
     return lexicon.suffix(c.table("lexicon"), "tion").select(*_LEX)
 
 
-@query("select id, str, freq from lex where contains(str, 'ough')")
+@query("select id, str, freq from lex where contains(str, 'sti')")
 def lex_contains(c):
-    return lexicon.contains(c.table("lexicon"), "ough").select(*_LEX)
+    return lexicon.contains(c.table("lexicon"), "sti").select(*_LEX)
+
+
+@query("select id, str, freq from lex where strlen(str) = 3 and upper(str) = str and lower(str) <> str")
+def lex_predicate(c):
+    """A predicate that is no string: three bytes, all of them capitals where they have a case."""
+    return lexicon.matching(c.table("lexicon"), lambda s: (F.octet_length(s) == 3) & (F.upper(s) == s) & (F.lower(s) != s)).select(*_LEX)
+
+
+@query("select 'contains' as way, count(*) as types, cast(sum(freq) as bigint) as tokens from lex where contains(str, 'sti') union all select 'prefix', count(*), cast(sum(freq) as bigint) from lex where starts_with(str, 'th')")
+def lex_string_and_regex(c):
+    """Prefix and containment by string and by expression: a row for each way, if both say the same."""
+    lex = c.table("lexicon")
+    rows = [(way, by_string, lexicon.regex_search(lex, pattern)) for way, by_string, pattern in (("contains", lexicon.contains(lex, "sti"), "sti"), ("prefix", lexicon.prefix(lex, "th"), "^th"))]
+    sums = lambda way, df: df.agg(F.lit(way).alias("way"), F.count("*").alias("types"), F.sum("freq").alias("tokens"))
+    one, two = (sums(way, a).join(sums(way, b), ["way", "types", "tokens"]) for way, a, b in rows)
+    return one.unionByName(two)
+
+
+@query("select a.id, a.str from lex a where a.id % 7 = 3 and a.freq > 1")
+def lex_by_hash(c):
+    """Strings looked up by their hash, then compared: as an index of hashes does it."""
+    lex = c.table("lexicon")
+    wanted = lex.where("id % 7 = 3 and freq > 1").select(F.xxhash64("str").alias("hash"), F.col("str").alias("wanted"))
+    return lex.select("id", "str", F.xxhash64("str").alias("hash")).join(wanted, "hash").where("str = wanted").select("id", "str")
 
 
 @query("select id, str, freq from lex where id = 42")
@@ -190,19 +223,13 @@ def postings_nth(c):
     return postings.ranked(c.table("postings")).where("nth = 5")
 
 
-@query("select word_id, cpos from tok where word_id in (select id from lex where freq between 5 and 50)")
+@query("select id as word_id, cpos from t0 join lex on str = word where freq between 5 and 50")
 def typelist_postings(c):
     return postings.of_types(c.table("postings"), c.table("lexicon").where("freq between 5 and 50"))
 
 
-@query("select id, str from lex where id < 100")
-def cl_id2str(c):
-    return c.table("lexicon").where("id < 100").select("id", "str")
-
-
 @query("select id, str from lex")
-def cl_id2str_all(c):
-    """The same for every type."""
+def cl_id2str(c):
     return c.table("lexicon").select("id", "str")
 
 
@@ -216,6 +243,12 @@ def cl_id2sort(c):
     return lexicon.sort_ranks(c.table("lexicon"))
 
 
+@query("select row_number() over (order by str) - 1 as sort, id from lex")
+def cl_sort2id(c):
+    """The type at each place in byte order."""
+    return lexicon.sort_ranks(c.table("lexicon")).select("sort", "id")
+
+
 @query("select id, str, cast(strlen(str) as integer) as bytes, freq from lex")
 def cl_id2all(c):
     return c.table("lexicon").select("id", "str", F.octet_length("str").alias("bytes"), "freq")
@@ -226,9 +259,16 @@ def cl_idlist2freq(c):
     return c.table("lexicon").where(F.col("id").isin(*IDS)).agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("freq"))
 
 
-@query()
+@query("""
+    , fb as materialized (select id, str, hex(encode(str)) as h from lex),
+    fh as (with recursive step(id, str, h, i, x) as (
+              select id, str, h, 0, 14695981039346656037::hugeint from fb
+              union all
+              select id, str, h, i + 1, (xor(x, ('0x' || substr(h, 2 * i + 1, 2))::integer::hugeint) * 1099511628211::hugeint) % 18446744073709551616::hugeint from step where 2 * i < length(h))
+           select id, str, x from step where 2 * i = length(h))
+    select id, str, cast(case when x >= 9223372036854775808::hugeint then x - 18446744073709551616::hugeint else x end as bigint) as hash from fh""")
 def fnv_hash(c):
-    """Hash of every type: the arithmetic wraps, which SQL has no word for; the tests have a loop over bytes."""
+    """FNV-1a of every type, in 64 bits that wrap."""
     return c.table("lexicon").select("id", "str", codec.fnv_hash("str").alias("hash"))
 
 
@@ -243,13 +283,19 @@ def varint_roundtrip(c):
     return c.table("lexicon").select("id", F.col("first_cpos").alias("value"), codec.varint_decode(codec.varint_encode("first_cpos")).alias("decoded"))
 
 
-@query("select word_id, string_agg(cpos, ',' order by cpos) as decoded from tok group by word_id")
+@query(f"select word_id, cpos // {postings.INDEX_BLOCK} as block, string_agg(cpos, ',' order by cpos) as decoded from tok group by word_id, block")
 def varint_blocks(c):
-    packed = postings.inverted_index(c.table("postings")).select("word_id", codec.varint_encode_block(codec.delta(F.col("cpos_list"))).alias("raw"))
-    gaps = codec.varint_decode_block("raw")
-    rows = packed.select("word_id", F.posexplode(gaps).alias("i", "gap"))
-    decoded = rows.withColumn("cpos", codec.delta_decode(F.col("gap"), F.col("word_id"), F.col("i")))
-    return decoded.groupBy("word_id").agg(F.array_join(F.sort_array(F.collect_list("cpos")).cast("array<string>"), ",").alias("decoded"))
+    packed = postings.inverted_index(c.table("postings")).select("word_id", "block", codec.varint_encode_block(codec.delta(F.col("cpos_list"))).alias("raw"))
+    rows = packed.select("word_id", "block", F.posexplode(codec.varint_decode_block("raw")).alias("i", "gap"))
+    decoded = rows.withColumn("cpos", F.sum("gap").over(Window.partitionBy("word_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    return decoded.groupBy("word_id", "block").agg(F.array_join(F.sort_array(F.collect_list("cpos")).cast("array<string>"), ",").alias("decoded"))
+
+
+@query("select cpos // 16 as block, count(*) as n, min(cpos) as first, sum(word_id)::bigint as ids from tok group by block")
+def index_blocks(c):
+    """What a block of BLOCK_ROWS rows holds: its number, rows, first position and sum of ids."""
+    rows = positions.batched(c.table("tokens").select("cpos", "word_id"), codec.BLOCK_ROWS)
+    return rows.groupBy(F.col("batch").alias("block")).agg(F.count("*").alias("n"), F.min("cpos").alias("first"), F.sum("word_id").alias("ids"))
 
 
 @query("select cpos, word_id - coalesce(lag(word_id) over (partition by cpos // 16 order by cpos), 0) as gap from tok")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexaxis.plans.observe import hooked, logged
 from lexaxis.sources import corpus, vrt
 from lexaxis.sources.shared import scratch
 
@@ -18,15 +20,15 @@ CTE = r"""
 with dl as (select doc_id, string_split(text, chr(10)) as l from documents),
      dm as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as line_no from dl),
      dw as (select doc_id, line_no, regexp_split_to_array(line, '\s+') as w from dm),
-     dt as (select doc_id, line_no, unnest(w) as word, generate_subscripts(w, 1) as i from dw),
-     t0 as (select row_number() over (order by doc_id, line_no, i) - 1 as cpos, word, doc_id, line_no from dt where word <> ''),
-     lex as (select row_number() over (order by freq desc, first_cpos) - 1 as id, str, freq, first_cpos from (select word as str, count(*) as freq, min(cpos) as first_cpos from t0 group by word)),
-     tok as (select t0.*, id as word_id, cpos - min(cpos) over (partition by doc_id) as pos_in_doc from t0 join lex on str = word),
-     seg as (select row_number() over (order by s) - 1 as seg_id, s as "start", e as "end", doc_id, lang, source, n_chars from (select doc_id, min(cpos) as s, max(cpos) + 1 as e from t0 group by doc_id) join documents using (doc_id)),
-     ln as (select row_number() over (order by "start") - 1 as seg_id, * from (select doc_id, line_no, min(cpos) as "start", max(cpos) + 1 as "end" from t0 group by doc_id, line_no)),
-     tags as (select seg_id, list_sort(list_distinct(string_split(concat_ws('|', lang, source, 'q' || quality, 't' || toxic), '|'))) as tags from seg left join labels using (doc_id)),
-     tu as (select row_number() over (order by conv_id, turn) - 1 as cpos, conv_id, turn from conversations),
-     turns as (select *, coalesce(lag(cpos) over (partition by conv_id order by turn), cpos) as head from tu),
+     dt as materialized (select doc_id, line_no, unnest(w) as word, generate_subscripts(w, 1) as i from dw),
+     t0 as materialized (select row_number() over (order by doc_id, line_no, i) - 1 as cpos, word, doc_id, line_no from dt where word <> ''),
+     lex as materialized (select row_number() over (order by freq desc, first_cpos) - 1 as id, str, freq, first_cpos from (select word as str, count(*) as freq, min(cpos) as first_cpos from t0 group by word)),
+     tok as materialized (select t0.*, id as word_id, cpos - min(cpos) over (partition by doc_id) as pos_in_doc from t0 join lex on str = word),
+     seg as materialized (select row_number() over (order by s) - 1 as seg_id, s as "start", e as "end", doc_id, lang, source, n_chars from (select doc_id, min(cpos) as s, max(cpos) + 1 as e from t0 group by doc_id) join documents using (doc_id)),
+     ln as materialized (select row_number() over (order by "start") - 1 as seg_id, * from (select doc_id, line_no, min(cpos) as "start", max(cpos) + 1 as "end" from t0 group by doc_id, line_no)),
+     tags as materialized (select seg_id, list_sort(list_distinct(string_split(concat_ws('|', lang, source, 'q' || quality, 't' || toxic), '|'))) as tags from seg left join labels using (doc_id)),
+     tu as materialized (select row_number() over (order by conv_id, turn) - 1 as cpos, conv_id, turn from conversations),
+     turns as materialized (select *, coalesce(lag(cpos) over (partition by conv_id order by turn), cpos) as head from tu),
      ev as (select row_number() over (order by event_id) - 1 as cpos, event_type, user_id from events),
      pg as (select row_number() over (order by page_id) - 1 as cpos, url from pages),
      vr as (select "start" as cpos, 0 as place, '<text id="' || doc_id || '" lang="' || lang || '" source="' || source || '">' as line, 'open' as kind, 'text' as tag from seg
@@ -59,7 +61,7 @@ def query(sql: str | None = None, plain: bool = False):
     """Registers a function of the corpus, or with plain=True of (spark, sf_dir); `sql` goes after CTE."""
 
     def add(f):
-        QUERIES[f.__name__] = f if plain else lambda spark, sf_dir: f(encoded(spark, sf_dir))
+        QUERIES[f.__name__] = logged(hooked(f if plain else functools.wraps(f)(lambda spark, sf_dir: f(encoded(spark, sf_dir)))))
         if sql is not None:
             ORACLES[f.__name__] = CTE + sql
         return f

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from enum import IntEnum
 
+from pyspark.errors import PySparkValueError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaxis.sources import axis
 
-KINDS = ("indexed", "plain", "int", "set", "ptr")
+KINDS = ("indexed", "plain", "int", "delta", "set", "ptr")
+#: Rows of one file of an encoded table; the number of files follows the size.
+FILE_ROWS = 1 << 22
 
 #: Layer -> (base layer or None, {variable: kind}); also the table's name.
 LAYOUT: dict[str, tuple[str | None, dict[str, str]]] = {
@@ -37,9 +41,50 @@ class WrongKind(CorpusError, TypeError):
     """A variable used as another kind than it has."""
 
 
-def _sorted_write(df: DataFrame, path: str, *by: str) -> None:
-    """Range-partitioned and sorted, so that row-group statistics prune lookups by `by`."""
-    df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+class ErrorCode(IntEnum):
+    """Numbers of the errors, for callers that want no exceptions; see code_of()."""
+
+    OK = 0
+    NOT_FOUND = -1
+    WRONG_KIND = -2
+    DANGLING_BASE = -3
+    BAD_CORPUS = -4
+    BAD_REGEX = -5
+    OTHER = -6
+
+
+def code_of(call, *args) -> tuple[ErrorCode, object]:
+    """(code, result): what `call` gives, or the code of the error it raises."""
+    try:
+        return ErrorCode.OK, call(*args)
+    except DanglingBase:
+        return ErrorCode.DANGLING_BASE, None
+    except WrongKind:
+        return ErrorCode.WRONG_KIND, None
+    except NotFound:
+        return ErrorCode.NOT_FOUND, None
+    except CorpusError:
+        return ErrorCode.BAD_CORPUS, None
+    except PySparkValueError:
+        return ErrorCode.BAD_REGEX, None
+
+
+class NotFound(CorpusError, KeyError):
+    """A layer or variable that isn't there."""
+
+
+def _sorted_write(df: DataFrame, path: str, *by: str, rows: int | None = None) -> None:
+    """Sorted by `by`, so that row-group statistics prune lookups.
+
+    With `rows`, the number of rows, by is a dense number from 0: it says itself
+    which file a row goes to. Else the rows are range-partitioned by a sample.
+    """
+    if rows is None:
+        placed = df.repartitionByRange(*by)
+    else:
+        files = max(1, -(-rows // FILE_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, rows >> 16))
+        placed = df.repartitionById(files, F.expr(f"cast({by[0]} div {-(-max(rows, 1) // files)} as int)"))
+    placed.sortWithinPartitions(*by).write.parquet(path)
 
 
 def check_manifest(manifest: DataFrame) -> None:
@@ -71,7 +116,7 @@ class Layer:
 
     def __getitem__(self, variable: str) -> DataFrame:
         if variable not in self.kinds:
-            raise CorpusError(f"{self.name} has no variable {variable!r}")
+            raise NotFound(f"{self.name} has no variable {variable!r}")
         key = "seg_id" if "seg_id" in self.df.columns else "cpos"
         return self.df.select(key, variable)
 
@@ -132,7 +177,7 @@ class Corpus:
         by_uuid = {uid: layer for layer, (_, _, uid, _) in self._layers.items()}
         name = by_uuid.get(name, name)
         if name not in self._layers:
-            raise CorpusError(f"no layer {name!r}")
+            raise NotFound(f"no layer {name!r}")
         base, kinds, uid, n = self._layers[name]
         return Layer(name, self.table(name), base, kinds, uid, n)
 
@@ -147,7 +192,7 @@ def encode(spark: SparkSession, sf_dir: str, path: str) -> Corpus:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     docs = read("documents")
     with ThreadPoolExecutor(8) as pool:  # tables that don't need each other are written side by side
-        write = lambda df, name, *by: pool.submit(_sorted_write, df, f"{path}/{name}", *by)
+        write = lambda df, name, *by, rows=None: pool.submit(_sorted_write, df, f"{path}/{name}", *by, rows=rows)
         waiting = [
             write(axis.turn_pointers(read("conversations")), "turns", "cpos"),
             write(axis.row_axis(read("events").select("event_id", "event_type", "user_id"), "event_id"), "events", "cpos"),
@@ -156,11 +201,15 @@ def encode(spark: SparkSession, sf_dir: str, path: str) -> Corpus:
         write(axis.document_spans(docs), "seg_doc", "start").result()
         spans = spark.read.parquet(f"{path}/seg_doc")
         waiting.append(write(axis.document_tags(spans, read("labels")), "doc_tags", "seg_id"))
-        write(axis.type_table(docs, spans), "lexicon", "id").result()
-        write(axis.with_ids(axis.tokens(docs, spans), spark.read.parquet(f"{path}/lexicon")), "tokens", "cpos").result()
+        n = spans.agg(F.max("end")).first()[0] or 0
+        # the texts are cut once: lexicon, lines and tokens are made of what is written here
+        axis.tokens(docs, spans).write.parquet(f"{path}/words")
+        words = spark.read.parquet(f"{path}/words")
+        waiting.append(write(axis.line_spans(words), "seg_line", "start"))
+        write(axis.type_table(words), "lexicon", "id").result()
+        write(axis.with_ids(words, spark.read.parquet(f"{path}/lexicon")), "tokens", "cpos", rows=n).result()
         tokens = spark.read.parquet(f"{path}/tokens")
         waiting.append(write(tokens.select("word_id", "cpos"), "postings", "word_id", "cpos"))
-        waiting.append(write(axis.line_spans(tokens), "seg_line", "start"))
         for w in waiting:
             w.result()
     rows = []

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,19 @@ def settled(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder: cut off from its lineage, and safe from a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_STABLE = {"LogicalRelation", "DataSourceV2ScanRelation", "Project", "Filter", "LocalRelation", "LogicalRDD", "Range", "SubqueryAlias"}
+
+
+def _repeatable(plan) -> bool:
+    if plan.nodeName().split(" ")[0] not in _STABLE or not plan.deterministic():
+        return False
+    return all(_repeatable(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def row_numbers(df: DataFrame, name: str = "row") -> DataFrame:
+    """`df` with the number of each row in its file split: the same whenever it is computed, and of no other row."""
+    if not _repeatable(df._jdf.queryExecution().optimizedPlan()):
+        df = settled(df)
+    return df.withColumn(name, F.monotonically_increasing_id())

@@ -51,22 +51,39 @@ def attributes(value: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def spans(found: DataFrame) -> DataFrame:
+def spans(found: DataFrame, root: str | None = None) -> DataFrame:
     """(tag, depth, start, end, attrs) of every element of events(); wrong nesting is an error.
 
-    Elements of one depth alternate between start and end. The outermost
-    elements are the unit of work, so a file without a root is no problem.
+    Where elements are well nested, the n-th that opens at a depth is the n-th
+    that closes there: both are numbered by depth and joined, so that a file of
+    one element is as many tasks as any. Rootless files are fine. With `root`,
+    one element of that name, over everything, stands above all others.
     """
-    tags = found.where("kind in ('open', 'close')").withColumn("at", block_of(F.col("line_no")))
-    top = F.when((F.col("kind") == "open") & (F.col("depth") == 0), 1).otherwise(0).cast("long")
-    tags = running_totals(tags, ["at"], ["line_no"], {"before": top}).withColumn("unit", F.col("before") + top)
+    tags = found.where("kind in ('open', 'close')")
     level = F.when(F.col("kind") == "open", F.col("depth")).otherwise(F.col("depth") - 1)
-    tags = tags.withColumn("level", level)
-    following = Window.partitionBy("unit", "level").orderBy("line_no")
-    paired = tags.select("kind", "tag", "level", "cpos", "value", *(F.lead(c).over(following).alias(f"next_{c}") for c in ("kind", "tag", "cpos")))
-    fits = (F.col("next_kind") == "close") & (F.col("next_tag") == F.col("tag"))
-    end = F.when(F.coalesce(fits, F.lit(False)), F.col("next_cpos")).otherwise(F.raise_error(F.concat(F.lit("not closed: "), "value")).cast("long"))
-    return paired.where("kind = 'open'").select("tag", F.col("level").cast("int").alias("depth"), F.col("cpos").alias("start"), end.alias("end"), attributes(F.col("value")).alias("attrs"))
+    tags = tags.select("kind", "tag", level.alias("level"), "line_no", "cpos", "value", block_of(F.col("line_no")).alias("at"))
+    sums = tags.groupBy("kind", "level", "at").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("kind", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("kind").alias("kind_of"), F.col("level").alias("level_of"), F.col("at").alias("at_of"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    joined = tags.join(offsets, (F.col("kind") == F.col("kind_of")) & (F.col("level") == F.col("level_of")) & (F.col("at") == F.col("at_of")))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("kind", "level", "at").orderBy("line_no"))
+    numbered_tags = joined.select("kind", "tag", "level", "cpos", "value", number.alias("number"))
+    opens = numbered_tags.where("kind = 'open'").drop("kind")
+    closes = numbered_tags.where("kind = 'close'").select(F.col("level").alias("level_c"), F.col("number").alias("number_c"), F.col("tag").alias("tag_c"), F.col("cpos").alias("cpos_c"), F.col("value").alias("value_c"))
+    pairs = opens.join(closes, (F.col("level") == F.col("level_c")) & (F.col("number") == F.col("number_c")), "full")
+    fits = F.coalesce((F.col("tag") == F.col("tag_c")) & (F.col("cpos") <= F.col("cpos_c")), F.lit(False))
+    end = F.when(fits, F.col("cpos_c")).otherwise(F.raise_error(F.concat(F.lit("not closed: "), F.coalesce("value", "value_c"))).cast("long"))
+    found_spans = pairs.select(F.coalesce("tag", "tag_c").alias("tag"), F.col("level").cast("int").alias("depth"), F.col("cpos").alias("start"), end.alias("end"), attributes(F.coalesce("value", "value_c")).alias("attrs"))
+    if root is None:
+        return found_spans
+    n = found.agg(F.count_if(F.col("kind") == "token").alias("end"))
+    above = n.select(F.lit(root).alias("tag"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("start"), "end", F.create_map().cast("map<string,string>").alias("attrs"))
+    return found_spans.withColumn("depth", F.col("depth") + 1).unionByName(above)
+
+
+def outermost(found: DataFrame) -> DataFrame:
+    """(line_no, tag) of the elements that no other holds; well-formed XML has one."""
+    return found.where("kind = 'open' and depth = 0").select("line_no", "tag")
 
 
 def tag_spans(found: DataFrame, tag: str) -> DataFrame:

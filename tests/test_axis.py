@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexaxis.functions.parsing import int_parse, pointer_parse, set_parse
 from lexaxis.operators import concordance, lexicon, postings, segments, values
 from lexaxis.operators.numbering import block_of, numbered
-from lexaxis.sources import axis
+from lexaxis.sources import axis, corpus
 from lexaxis.sources.corpus import Corpus, CorpusError, DanglingBase, Layer, WrongKind, check_manifest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -192,3 +192,39 @@ def test_calls_are_logged_and_rows_counted_on_the_way(spark, caplog):
         df, seen = counted(some(10, step=2))
     assert df.count() == 5 and seen.get["rows"] == 5
     assert "some(10, step=2) -> struct<id:bigint>" in caplog.text and "Physical Plan" in caplog.text
+
+
+def test_repeated_and_null_document_ids_have_places_of_their_own(spark, tmp_path):
+    rows = [(1, "a b"), (1, "c\nd"), (None, "e f"), (2, "g"), (None, "h"), (7_000_000_000_000, "i"), (3, None), (-5, "j")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    spans = axis.document_spans(docs)
+    tokens = axis.tokens(docs, spans)
+    found = [(r.cpos, r.word, r.doc_id, r.line_no, r.pos_in_doc) for r in tokens.orderBy("cpos").collect()]
+    words = [("j", -5, 0, 0), ("a", 1, 0, 0), ("b", 1, 0, 1), ("c", 1, 0, 0), ("d", 1, 1, 1), ("g", 2, 0, 0), ("i", 7_000_000_000_000, 0, 0), ("e", None, 0, 0), ("f", None, 0, 1), ("h", None, 0, 0)]
+    assert found == [(i, *w) for i, w in enumerate(words)]
+    assert [(r.start, r.end) for r in axis.line_spans(tokens).orderBy("seg_id").collect()] == [(0, 1), (1, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 9), (9, 10)]
+    turns = spark.createDataFrame([(1, 0), (None, 3), (1, 1), (1, 1), (None, 4)], "conv_id long, turn int")
+    assert [(r.conv_id, r.turn, r.head) for r in axis.turn_pointers(turns).orderBy("cpos").collect()] == [(1, 0, 0), (1, 1, 0), (1, 1, 1), (None, 3, 3), (None, 4, 4)]
+
+
+def test_a_hit_that_is_listed_twice_gives_its_line_twice(spark):
+    tokens = spark.createDataFrame([(i, w) for i, w in enumerate("a b c d".split())], "cpos long, word string")
+    hits = spark.createDataFrame([(1,), (1,), (3,)], "cpos long")
+    assert sorted((r.cpos, r.left, r.hit, r.right) for r in concordance.kwic(tokens, hits, 1).collect()) == [(1, "a", "b", "c"), (1, "a", "b", "c"), (3, "c", "d", "")]
+    layer = spark.createDataFrame([(0, 0, 4)], "seg_id long, start long, end long")
+    assert sorted((r.hit, r.text) for r in concordance.surface(tokens, hits, layer).collect()) == [(1, "a [b] c d"), (1, "a [b] c d"), (3, "a b c [d]")]
+
+
+def test_expressions_and_error_codes(spark):
+    lex = spark.createDataFrame([(0, "ab"), (1, "b."), (2, "xabx")], "id long, str string")
+    for pattern, fast, want in (("ab", True, [0]), (".*ab.*", True, [0, 2]), ("x.*", True, [2]), ("(a|b).", False, [0, 1]), (".*", False, [0, 1, 2])):
+        regex = lexicon.Regex(spark, pattern)
+        assert regex.optimised == fast
+        assert [r.id for r in lex.where(regex.is_match(lex.str)).orderBy("id").collect()] == want
+    assert [r.id for r in lexicon.matching(lex, ".").collect()] == [1]
+    assert corpus.code_of(lexicon.Regex, spark, "(") == (corpus.ErrorCode.BAD_REGEX, None)
+    layer = corpus.Layer("x", lex.withColumnRenamed("id", "cpos"), None, {"str": "plain"}, "u", 3)
+    assert corpus.code_of(lambda: layer["no"])[0] == corpus.ErrorCode.NOT_FOUND
+    assert corpus.code_of(layer.as_kind, "str", "int")[0] == corpus.ErrorCode.WRONG_KIND
+    assert corpus.code_of(layer.as_kind, "str", "plain")[0] == corpus.ErrorCode.OK

@@ -14,8 +14,8 @@ def test_entry_gives_one_document(spark):
     assert found[0].n_tokens == len(found[0].text.split(" "))
 
 
-def test_every_query_but_the_wrapping_hash_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"fnv_hash"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -23,9 +23,13 @@ def test_same_rows_as_sql(spark, name):
     assert oracle.rows_of(QUERIES[name](spark, oracle.DATA)) == oracle.sql_rows(ORACLES[name])
 
 
-def test_flags_of_all_positions_and_strings_of_all_types(spark):
-    freq = QUERIES["type_frequency"](spark, oracle.DATA).agg({"freq": "sum", "word_id": "count"}).first()
-    assert QUERIES["seg_start_flags_all"](spark, oracle.DATA).count() == freq["sum(freq)"]
-    assert QUERIES["cl_id2str_all"](spark, oracle.DATA).count() == freq["count(word_id)"]
-    for cut in ("seg_start_flags", "cl_id2str"):
-        assert QUERIES[cut](spark, oracle.DATA).count() < QUERIES[f"{cut}_all"](spark, oracle.DATA).count()
+def test_queries_are_logged_and_can_be_replaced(spark, caplog):
+    import logging
+
+    from lexaxis.plans.observe import hook
+
+    with caplog.at_level(logging.INFO, logger="lexaxis.queries"):
+        with hook("token_at", lambda original, *args: original(*args).selectExpr("cpos + 1 as cpos")), hook("token_at", lambda original, *args: original(*args).selectExpr("cpos * 2 as cpos")):
+            assert QUERIES["token_at"](spark, oracle.DATA).first().cpos == 2470
+        assert QUERIES["token_at"](spark, oracle.DATA).first().cpos == 1234
+    assert sum("token_at(" in r.getMessage() for r in caplog.records) == 2

@@ -65,23 +65,72 @@ def test_nested_elements_of_one_name(spark, tmp_path):
 
 
 def test_encode(spark, source, tmp_path):
-    made = encode_vrt(spark, source, str(tmp_path / "out"), ["word", "tag:indexed", "head:ptr"], ["text", "s"], ["text+id", "text+tags:set", "s+n:int"], int_default=-1, ptr_base=0)
-    assert made.layer_names == ["seg_s", "seg_text", "tokens"]
-    assert [r.head for r in made["tokens"].as_kind("head", "ptr").orderBy("cpos").collect()] == [1, 1, None, 2, 4, 5]
+    with pytest.raises(CorpusError, match="several outermost"):
+        encode_vrt(spark, source, str(tmp_path / "no"), ["word"], ["text"])
+    made = encode_vrt(spark, source, str(tmp_path / "out"), ["word", "tag:indexed", "number:skip"], ["text", "s"], ["text+id", "text+tags:set", "s+n:delta"], int_default=-1, invalid_xml=True)
+    assert made.layer_names == ["seg_s", "seg_text", "tokens"] and made["tokens"].variable_names == ["tag", "word"]
     assert [r.tags for r in made["seg_text"]["tags"].orderBy("seg_id").collect()] == [["a", "b"], []]
-    assert [r.n for r in made["seg_s"]["n"].orderBy("seg_id").collect()] == [1, 2, -1]
+    assert [r.n for r in made["seg_s"].as_kind("n", "delta").orderBy("seg_id").collect()] == [1, 2, -1]
     assert [(r.str, r.freq) for r in made.table("lexicon_word").orderBy("id").limit(2).collect()] == [("Ein", 2), ("Beispiel", 1)]
     with pytest.raises(CorpusError, match="unknown type"):
         encode_vrt(spark, source, str(tmp_path / "no"), ["word:float"])
+    with pytest.raises(CorpusError, match="there already"):
+        encode_vrt(spark, source, str(tmp_path / "out"), ["word"])
+    assert encode_vrt(spark, source, str(tmp_path / "out"), ["word"], force=True, uncompressed=True).layer_names == ["tokens"]
+    assert not list((tmp_path / "out").glob("tokens/*snappy*"))
+
+
+PARSED = """<s>
+1\tDas\t3
+2\tist\t3
+3\tGut\t0
+4\t!\t1
+</s>
+<s>
+1\tJa\t2
+2\tdoch\t0
+x\t?\t1
+4\t.\tx
+</s>
+"""
+
+
+def test_pointers_count_from_a_column(spark, tmp_path):
+    (tmp_path / "p.vrt").write_text(PARSED)
+    heads = ["index:skip", "word", "head:ptr"]
+    made = encode_vrt(spark, str(tmp_path / "p.vrt"), str(tmp_path / "p"), heads, ptr_base="index")
+    assert [r.head for r in made["tokens"].as_kind("head", "ptr").orderBy("cpos").collect()] == [2, 2, 2, 0, 5, 5, None, None]
+    for base, more in ((None, []), ("lemma", []), ("index", ["other:ptr"])):
+        with pytest.raises(CorpusError):
+            encode_vrt(spark, str(tmp_path / "p.vrt"), str(tmp_path / "no"), [*heads, *more], ptr_base=base)
+    (tmp_path / "q.vrt").write_text("1\ta\t9\n")
+    with pytest.raises(CorpusError, match="outside"):
+        encode_vrt(spark, str(tmp_path / "q.vrt"), str(tmp_path / "q"), heads, ptr_base="index")
+
+
+def test_a_root_is_put_above(spark, source):
+    found = vrt.events(spark, source)
+    assert sorted((r.tag, r.depth, r.start, r.end) for r in vrt.spans(found, "root").where("tag <> 's'").collect()) == [("root", 0, 0, 6), ("text", 1, 0, 5), ("text", 1, 5, 6)]
+    assert sorted(r.tag for r in vrt.outermost(found).collect()) == ["text", "text"]
+
+
+def test_elements_of_one_root_are_paired_by_blocks(spark, tmp_path):
+    (tmp_path / "r.vrt").write_text("<root>\n" + "".join(f'<s n="{i}">\n<w>\nx\n</w>\ny\n</s>\n' for i in range(300)) + "</root>\n")
+    found = vrt.spans(vrt.events(spark, str(tmp_path / "r.vrt")))
+    rows = sorted((r.tag, r.start, r.end) for r in found.collect())
+    assert rows == [("root", 0, 600), *(("s", 2 * i, 2 * i + 2) for i in range(300)), *sorted(("w", 2 * i, 2 * i + 1) for i in range(300))]
 
 
 def test_command_line(spark, source, tmp_path, capsys):
     main([source])
     assert "tokens" in capsys.readouterr().out
     with pytest.raises(SystemExit):
-        main([source, "-p", "word"])
-    main([source, "-o", str(tmp_path / "cli"), "-p", "word", "-s", "s"])
+        main([source.replace(".vrt", "").replace(".gz", ""), "-p", "word"])
+    main([source, "-o", str(tmp_path / "cli"), "-p", "word", "-s", "s", "-x"])
     assert spark.read.parquet(str(tmp_path / "cli" / "tokens")).count() == 6
+    main([source, "-p", "word", "-p", "tag:skip", "-u"])
+    assert spark.read.parquet(str(tmp_path / "a" / "tokens")).columns == ["cpos", "word"]
+    main([source, "-f", "-p", "word"])
 
 
 def test_files_hold_the_corpus_in_order(spark, tmp_path):
