@@ -29,11 +29,12 @@ TOP_K = 10
 #: Documents and bytes of text of a shard; a longer text is a shard by itself.
 SHARD_DOCS = 1 << 13
 SHARD_BYTES = 32 << 20
-#: Documents of a shard that are scored before the threshold is looked at, where none is known yet.
-STRIDE = 1024
 #: Queries, and bytes of their text, of one pass over the index; more are further passes. Bounds what is broadcast; a longer query is a block by itself.
 BLOCK_QUERIES = 2000
 BLOCK_BYTES = 8 << 20
+#: Non-essential lists that are probed between two looks at which documents can still compete, and the postings of one that are added rather than searched.
+GROUP = 16
+DENSE = 2000
 SCALE = 1_000_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c"
@@ -112,22 +113,22 @@ def _index(docs_a_shard: int):
 
 
 class Shard:
-    """Postings of a shard for the terms of a block of queries: of term t those from start[t] to end[t]."""
+    """Postings of a shard, of its i-th term those from starts[i] to starts[i + 1]; terms[i] is its number in a block's vocabulary, or -1."""
 
-    def __init__(self, doc: np.ndarray, times: np.ndarray, start: np.ndarray, end: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float) -> None:
-        self.size, self.start, self.end, self.doc = len(length), start, end, doc
-        self.impact = np.zeros(len(doc))
+    def __init__(self, doc: np.ndarray, times: np.ndarray, starts: np.ndarray, terms: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        self.size, self.doc, own = len(length), doc, terms >= 0
+        self.start, self.end, self.top = np.zeros(len(idf), np.int64), np.zeros(len(idf), np.int64), np.zeros(len(idf))
         norm = K1 * (1 - B + B * length / mean)
-        of = np.zeros(len(doc))
-        own = np.flatnonzero(end > start)
-        for t in own.tolist():
-            of[start[t] : end[t]] = idf[t]
-        self.impact = np.floor(SCALE * (of * (times * (K1 + 1) / (times + norm[doc]))) + 0.5)
-        self.top = np.zeros(len(start))
-        if len(own):
-            by_place = own[np.argsort(start[own])]
-            edges = np.stack([start[by_place], end[by_place]], axis=1).ravel()
-            self.top[by_place] = np.maximum.reduceat(np.r_[self.impact, 0.0], edges)[::2]
+        weight = np.repeat(np.where(own, idf[terms], 0.0), np.diff(starts))
+        self.impact = np.floor(SCALE * (weight * (times * (K1 + 1) / (times + norm[doc]))) + 0.5)
+        self.start[terms[own]], self.end[terms[own]] = starts[:-1][own], starts[1:][own]
+        if len(doc):
+            self.top[terms[own]] = np.maximum.reduceat(np.r_[self.impact, 0.0], starts[:-1])[own]
+
+    def _sums(self, places: list[tuple[int, int, int]]) -> np.ndarray:
+        """What lists of postings, each so many times, give every document."""
+        docs = np.concatenate([self.doc[s:e] for s, e, _ in places])
+        return np.bincount(docs, np.concatenate([self.impact[s:e] if n == 1 else self.impact[s:e] * n for s, e, n in places]), self.size)
 
     def search(self, terms: np.ndarray, times: np.ndarray, k: int, ids: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the k best that score `floor` at least; equal scores rank by `ids`, whose values are distinct."""
@@ -136,33 +137,29 @@ class Shard:
         bound = self.top[terms] * times
         order = np.argsort(bound)
         upto = np.r_[0.0, np.cumsum(bound[order])]  # upto[i]: bound of the first i lists together
-        lists = [(self.doc[self.start[t] : self.end[t]], self.impact[self.start[t] : self.end[t]], n) for t, n in zip(terms[order].tolist(), times[order].tolist(), strict=True)]
-        best_doc, best = np.zeros(0, np.int64), np.zeros(0)
-        steps = [0, self.size] if floor or self.size <= STRIDE else [0, STRIDE, self.size]
-        for lo, hi in zip(steps[:-1], steps[1:], strict=True):
-            threshold = max(floor, float(best.min()) if len(best) == k else 0.0)
-            first = int(np.searchsorted(upto[1:], threshold, side="left"))  # lists before it are non-essential
-            if first == len(lists):
-                break
-            part = lists if len(steps) == 2 else [(d[s:e], x[s:e], n) for d, x, n in lists for s, e in [np.searchsorted(d, (lo, hi))]]
-            score = np.bincount(np.concatenate([d for d, _, _ in part[first:]]), np.concatenate([x if n == 1 else x * n for _, x, n in part[first:]]), self.size)
-            found = np.flatnonzero(score)
-            for i in range(first - 1, -1, -1):
-                found = found[score[found] + upto[i + 1] >= threshold]
-                if not len(found):
-                    break
-                docs, impact, n = part[i]
-                if len(docs):
-                    at = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
-                    score[found] += np.where(docs[at] == found, impact[at] * n, 0.0)
-            found = found[score[found] >= max(threshold, 1.0)]
-            docs, scores = np.r_[best_doc, found], np.r_[best, score[found]]
-            if len(docs) > 4 * k:  # only what reaches the k-th best is sorted
-                keep = scores >= np.partition(scores, -k)[-k]
-                docs, scores = docs[keep], scores[keep]
-            top = np.lexsort((ids[docs], -scores))[:k]
-            best_doc, best = docs[top], scores[top]
-        return best_doc, best
+        places = list(zip(self.start[terms[order]].tolist(), self.end[terms[order]].tolist(), times[order].tolist(), strict=True))
+        first = int(np.searchsorted(upto[1:], floor, side="left"))  # lists before it are non-essential
+        if first == len(places):
+            return np.zeros(0, np.int64), np.zeros(0)
+        score = self._sums(places[first:])
+        found = np.flatnonzero(score >= max(floor - upto[first], 0.5))
+        while first and len(found):
+            last, first = first, max(0, first - GROUP)
+            group = places[first:last]
+            if sum(e - s for s, e, _ in group) < GROUP * (DENSE + 8 * len(found)):
+                score += self._sums(group)  # short lists are added whole, which costs less than looking for each document
+            else:
+                for s, e, n in group:
+                    at = np.minimum(np.searchsorted(self.doc[s:e], found), e - s - 1) + s
+                    score[found] += np.where(self.doc[at] == found, self.impact[at] * n, 0.0)
+            found = found[score[found] + upto[first] >= floor]
+        found = found[score[found] >= max(floor, 1.0)]
+        scores = score[found]
+        if len(found) > 4 * k:  # only what reaches the k-th best is sorted
+            keep = scores >= np.partition(scores, -k)[-k]
+            found, scores = found[keep], scores[keep]
+        top = np.lexsort((ids[found], -scores))[:k]
+        return found[top], scores[top]
 
 
 def _names(row: dict) -> pa.Array:
@@ -202,11 +199,8 @@ def _search(block, mean: float, k: int):
         for batch in batches:
             for row in _rows(batch):
                 at = pc.index_in(_names(row), vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-                starts, own = np.frombuffer(row["starts"], np.int64), at >= 0
-                start, end = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
-                start[at[own]], end[at[own]] = starts[:-1][own], starts[1:][own]
                 rid, length = np.array(row["rid"]), np.array(row["length"])
-                shard = Shard(np.frombuffer(row["docs"], np.uint16).astype(np.int64), np.frombuffer(row["times"], np.uint32), start, end, length, idf, mean)
+                shard = Shard(np.frombuffer(row["docs"], np.uint16).astype(np.int64), np.frombuffer(row["times"], np.uint32), np.frombuffer(row["starts"], np.int64), at, length, idf, mean)
                 doc_id = np.array([none if x is None else x for x in row["doc_id"]])
                 order = np.empty(len(rid), np.int64)
                 order[np.lexsort((rid, doc_id))] = np.arange(len(rid))

@@ -133,15 +133,17 @@ def test_warc_selected_records_and_hard_rows(spark):
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, rid int")
     found = warc.round_trip(spark, pages).collect()
     assert sorted(((r.page_id, r.url, r.html) for r in found), key=repr) == sorted(rows, key=repr)
-    index = warc.index_warc(warc.write_warc(pages, scratch(spark, "w")))
-    got = warc.read_records(index.where("page_id in (1, 4)")).collect()
+    index = warc.write_warc(pages, scratch(spark, "w"))
+    assert sorted(map(repr, warc.index_warc(index.select("file").distinct()).collect())) == sorted(map(repr, index.collect()))
+    got = warc.read_records(index.where("page_id in (1, 4)").withColumn("part", F.lit("x"))).collect()
     assert sorted(r.page_id for r in got) == [1, 1, 4]
+    assert warc.write_warc(pages.limit(0), scratch(spark, "w")).count() == 0
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
 def test_every_member_can_be_read_by_its_offset(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    rows = warc.index_warc(warc.write_warc(pages, scratch(spark, "w"))).collect()
+    rows = warc.write_warc(pages, scratch(spark, "w")).collect()
     for r in rows:
         system, path = warc.open_path(r.file)
         with system.open_input_file(path) as f:
@@ -149,6 +151,32 @@ def test_every_member_can_be_read_by_its_offset(spark):
         assert headers["warc-payload-digest"] == r.digest == warc.digest_of(body)
 
 
+def test_records_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+
+    body = "<p>été</p>".encode("latin-1")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + body
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    heads = {
+        "digest": f"WARC-Type: response\r\nWARC-Target-URI: <http://a.example/>\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:{sha1}",
+        "none": "WARC-Type: response\r\nWARC-Target-URI: http://b.example/\r\nContent-Type: application/http;msgtype=response",
+        "wrong": "WARC-Type: response\r\nWARC-Target-URI: http://c.example/\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha1:AAAA",
+    }
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 6\r\n\r\na: b\r\n\r\n\r\n"
+    members = [gzip.compress(info)] + [gzip.compress(f"WARC/1.0\r\n{h}\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n") for h in heads.values()]
+    (tmp_path / "f.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    index = warc.index_warc(spark.createDataFrame([(f"file://{tmp_path}/{f}.warc.gz",) for f in ("f", "empty")], "file string"))
+    rows = sorted(index.collect(), key=lambda r: r.offset)
+    assert [(r.url, r.digest) for r in rows] == [(None, None), ("http://a.example/", f"sha1:{sha1}"), ("http://b.example/", None), ("http://c.example/", "sha1:AAAA")]
+    good = warc.read_records(index.where("coalesce(digest, '') <> 'sha1:AAAA'")).collect()
+    assert sorted((r.url or "", r.html, r.digest) for r in good) == [("", "a: b\r\n", warc.digest_of(b"a: b\r\n")), ("http://a.example/", "<p>été</p>", f"sha1:{sha1}"), ("http://b.example/", "<p>été</p>", warc.digest_of(body))]
+    with pytest.raises(Exception, match="digest mismatch"):
+        warc.read_records(index.where("digest = 'sha1:AAAA'")).collect()
+
+
 @given(st.lists(st.tuples(st.integers(0, 100_000), st.integers(1, 3_000_000)), max_size=30))
 def test_coalesced_reads_cover_the_ranges(gaps):
     at, ranges = 0, []
@@ -272,9 +300,10 @@ def test_languages_that_tie_and_rare_ones(spark):
 # -- search -------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("stride", [3, 2048])
-def test_maxscore_is_exhaustive_search(monkeypatch, stride):
-    monkeypatch.setattr(topk, "STRIDE", stride)
+@pytest.mark.parametrize(("group", "dense"), [(1, -10_000), (2, 0), (16, 2000)])
+def test_maxscore_is_exhaustive_search(monkeypatch, group, dense):
+    monkeypatch.setattr(topk, "GROUP", group)
+    monkeypatch.setattr(topk, "DENSE", dense)
     source = np.random.default_rng(2)
     n, vocab = 200, 30
     lengths = source.integers(1, 40, n)
@@ -282,7 +311,7 @@ def test_maxscore_is_exhaustive_search(monkeypatch, stride):
     term = np.minimum(source.zipf(1.5, len(doc)) - 1, vocab - 1)
     key, times = np.unique(term * n + doc, return_counts=True)
     cut = np.searchsorted(key // n, np.arange(vocab + 1))
-    shard = topk.Shard(key % n, times, cut[:-1], cut[1:], lengths, source.random(vocab) * 5, lengths.mean())
+    shard = topk.Shard(key % n, times, cut, np.arange(vocab), lengths, source.random(vocab) * 5, lengths.mean())
     ids = source.permutation(n)
     for k in (1, 5, 300):
         for _ in range(20):
@@ -293,7 +322,7 @@ def test_maxscore_is_exhaustive_search(monkeypatch, stride):
                 score[shard.doc[cut[t] : cut[t + 1]]] += shard.impact[cut[t] : cut[t + 1]] * c
             hit = np.flatnonzero(score)
             order = hit[np.lexsort((ids[hit], -score[hit]))][:k]
-            for floor in (0.0, *score[order[-1:]]):
+            for floor in (0.0, *score[order[-1:]] / 2, *score[order[-1:]]):
                 found, scores = shard.search(asked, count, k, ids, floor)
                 assert found.tolist() == order.tolist() and scores.tolist() == score[order].tolist()
 
@@ -473,11 +502,60 @@ def test_pipeline_stages(spark, docs, tmp_path):
     check_packs(last, [(r.doc_id, r.text) for r in kept.collect()], packing.CONTEXT)
 
 
+def through(spark, table, tmp_path, label):
+    """What each stage returns, written and read again."""
+    found = [table]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, found[-1], "").write.parquet(str(tmp_path / f"{label}{name}"))
+        found.append(spark.read.parquet(str(tmp_path / f"{label}{name}")))
+    return found[1:]
+
+
 def test_pipeline_of_an_empty_table_and_hard_rows(spark, empty, nasty, tmp_path):
-    for i, table in enumerate((empty, nasty)):
-        kept = table.select("doc_id", "text", "lang", "source", "n_chars")
-        for name, stage in corpus_pipeline.STAGES:
-            kept = stage(spark, kept, "")
-            kept.write.parquet(str(tmp_path / f"{i}{name}"))
-            kept = spark.read.parquet(str(tmp_path / f"{i}{name}"))
-    assert kept.count() > 0
+    assert [t.count() for t in through(spark, empty, tmp_path, "empty")] == [0, 0, 0, 0]
+    nasty.withColumn("lang", F.lit(None).cast("string")).write.parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    languages, lines, near, packs = through(spark, table, tmp_path, "nasty")
+    assert languages.count() == nasty.count()
+    for kept in (languages, lines, near):
+        assert kept.columns == nasty.columns
+        assert {tuple(r) for r in kept.select("rid", "fp", "node", "label", "line", "owner", "kept_line_numbers", "row_number_in_files", "query", "bounds_of_ranges", "part", "pack_id").collect()} == {("x", "y", 1, None, None, 2, 3, 4, "q", 5, 6, 7)}
+    rows = sorted(((r.doc_id, r.text, r.n_chars) for r in lines.collect()), key=repr)
+    assert [r[0] for r in rows] == [1, 2, 3, 4, 5, 7, 8, None, None]
+    assert all(n == (None if text is None else len(text)) for _, text, n in rows)
+    assert rows[0][1] == "eins zwei drei\nvier\n\nfünf" and rows[1][1] is None and rows[3][1] == "   \n\t\n "
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in near.collect()), key=repr) == rows
+    check_packs(packs.collect(), [(d, text.replace("▁", "x") if text else text) for d, text, _ in rows], packing.CONTEXT)
+
+
+def test_pipeline_against_slow_versions(spark, docs, tmp_path):
+    from test_dedup import groups_of, prints_of
+
+    from lexaxis.llm import simhash
+
+    source = random.Random(2)
+    noise = [(900_000 + i, "".join(source.choice("0123456789 #$%&|~^") for _ in range(384)), None, "s", 384) for i in range(9)]
+    docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(noise, "doc_id long, text string, lang string, source string, n_chars long")).write.parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    languages, lines, near, packs = (sorted(t.collect(), key=lambda r: r[0]) for t in through(spark, table, tmp_path, "slow"))
+    model, want = langid.train(table), set()
+    for r in table.collect():
+        raw, total = (r.text or "").encode(), np.zeros(len(model.labels))
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW]
+            total += plain_network(model, np.frombuffer(part.ljust(langid.WINDOW, b"\0"), np.uint8)[None])[0] * len(part) / len(raw)
+        if raw and 1 - total[-1] >= langid.MIN_CONFIDENCE:
+            want.add(r.doc_id)
+    assert {r.doc_id for r in languages} == want and not want & {d for d, *_ in noise[1:]}
+    seen, kept = set(), {}
+    for r in languages:
+        own = [x for x in r.text.split("\n") if not x.strip(" ") or not (x in seen or seen.add(x))]
+        if any(x.strip(" ") for x in own) or not any(x.strip(" ") for x in r.text.split("\n")):
+            kept[r.doc_id] = "\n".join(own)
+    assert {r.doc_id: r.text for r in lines} == kept
+    at, fp = prints_of([r.text for r in lines])
+    close = [(lines[at[i]].doc_id, lines[at[j]].doc_id) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(1) <= simhash.MAX_DISTANCE) + i + 1]
+    drop = {x for x, root in groups_of(close).items() if x != root}
+    gone = {r.doc_id for r in lines} - {r.doc_id for r in near}
+    assert gone <= drop and len(gone) >= 0.9 * len(drop)
+    check_packs(packs, [(r.doc_id, r.text) for r in near], packing.CONTEXT)
