@@ -1,13 +1,16 @@
-"""WARC files: written from a table, indexed, and read back by coalesced byte ranges.
+"""WARC files: written from a table with their index, indexed where others wrote them, and read by coalesced byte ranges.
 
 Files are series of gzip members, one per record. The index has offset, length,
-URL and digest of every record. Reading takes any rows of an index: those of a
-file are sorted, and ranges that lie close together are fetched in one read.
+URL and digest of every record; a writer knows them and gives them as it writes.
+Reading takes any rows of an index: those of a file are sorted, and ranges that
+lie close together are fetched in one read.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,10 +43,8 @@ def digest_of(body: bytes) -> str:
     return "sha256:" + hashlib.sha256(body).hexdigest()
 
 
-def record(page_id: int | None, url: str | None, body: str | None) -> bytes:
-    """One resource record. A URL's control characters, spaces, % and non-ASCII bytes are escaped."""
-    raw = (body or "").encode()
-    digest = digest_of(raw)
+def record(page_id: int | None, url: str | None, body: str | None, raw: bytes, digest: str) -> bytes:
+    """One resource record of `body`, whose bytes are `raw`. A URL's control characters, spaces, % and non-ASCII bytes are escaped."""
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {digest}")
     head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: {digest}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(raw)}"]
     if url is not None:
@@ -65,40 +66,81 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["content-length"])]
 
 
+def payload(headers: dict[str, str], block: bytes) -> tuple[bytes, str]:
+    """(body, its text) of a record's block; of an HTTP message, what follows its head. Bytes that the stated charset doesn't have become U+FFFD."""
+    kind = headers.get("content-type", "")
+    if kind.replace(" ", "").lower().startswith("application/http"):
+        head, _, block = block.partition(b"\r\n\r\n")
+        lines = (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])
+        kind = {k.strip().lower(): v.strip() for k, _, v in lines}.get("content-type", "")
+    named = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.IGNORECASE)
+    try:
+        return block, block.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:  # a charset that isn't known
+        return block, block.decode("utf-8", "replace")
+
+
+def verified(digest: str | None, body: bytes) -> str:
+    """The digest, after a check of it against `body`, in hexadecimal or base32; none gives that of the body, and an unknown kind goes unchecked."""
+    kind, _, said = (digest or "").partition(":")
+    if not said:
+        return digest_of(body)
+    if (kind := kind.lower().replace("-", "")) in hashlib.algorithms_guaranteed and not kind.startswith("shake"):
+        real = hashlib.new(kind, body)
+        if said.lower() != real.hexdigest() and said.upper().rstrip("=") != base64.b32encode(real.digest()).decode().rstrip("="):
+            raise ValueError(f"digest mismatch: {digest}")
+    return digest
+
+
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+_NAMES = ["file", "offset", "length", "url", "digest", "page_id"]
+
+
+def _index_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
 def _write_batches(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_path(folder)
         system.create_dir(path, recursive=True)
-        out, done, size, count, name = None, [], 0, 0, ""
+        out, size, name = None, 0, ""
         for batch in batches:
+            rows = []
             for page_id, url, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if out is None:
-                    name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, size = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = system.open_output_stream(f"{path}/{name}", compression=None)
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = packer.compress(record(page_id, url, body)) + packer.flush()
+                raw = (body or "").encode()
+                digest = digest_of(raw)
+                member = packer.compress(record(page_id, url, body, raw, digest)) + packer.flush()
                 out.write(member)
-                size, count = size + len(member), count + 1
+                rows.append((f"{folder}/{name}", size, len(member), url, digest, page_id))
+                size += len(member)
                 if size >= FILE_BYTES:
                     out.close()
                     out = None
-                    done.append((name, size, count))
+            if rows:
+                yield _index_rows(rows)
         if out is not None:
             out.close()
-            done.append((name, size, count))
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n, _, _ in done], pa.string()), pa.array([s for _, s, _ in done], pa.int64()), pa.array([c for _, _, c in done], pa.int64())], ["file", "bytes", "records"])
 
     return run
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """Writes `pages` as WARC files in `folder` and returns (file, bytes, records) of them.
+    """Writes `pages` as WARC files in `folder` and returns their index: (file, offset, length, url, digest, page_id).
 
     Only files of tasks that ended count: what a lost task wrote is in no result.
+
+    * null id, url or body: the record goes without that header, a null body as one of no bytes that is marked;
+    * empty, very long and repeated bodies, and repeated URLs: a record each;
+    * empty table: no file and an empty index; other columns, of any name, aren't written.
     """
     table, rid = numbered(pages)
     work = table.select(column(table, rid).alias("rid"), column(table, id_col).cast("long").alias("page_id"), column(table, url_col).cast("string").alias("url"), column(table, body_col).cast("string").alias("body"))
-    return settled(work.mapInArrow(_write_batches(folder), "file string, bytes long, records long"))
+    return settled(work.mapInArrow(_write_batches(folder), INDEX))
 
 
 def members(stream) -> Iterator[tuple[int, int, bytes]]:
@@ -125,12 +167,10 @@ def members(stream) -> Iterator[tuple[int, int, bytes]]:
 def _described(file: str, offset: int, length: int, raw: bytes) -> tuple:
     headers, _ = parse(raw)
     url, page = headers.get("warc-target-uri"), headers.get("x-page-id")
-    return file, offset, length, None if url is None else unquote(url), headers.get("warc-payload-digest"), None if page is None else int(page)
+    return file, offset, length, None if url is None else unquote(url.strip("<>")), headers.get("warc-payload-digest"), None if page is None else int(page)
 
 
 def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    names = ["file", "offset", "length", "url", "digest", "page_id"]
     for batch in batches:
         for file in batch.column(0).to_pylist():
             system, path = open_path(file)
@@ -139,14 +179,19 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 for member in members(stream):
                     rows.append(_described(file, *member))
                     if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        yield _index_rows(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield _index_rows(rows)
 
 
 def index_warc(files: DataFrame) -> DataFrame:
-    """The index (file, offset, length, url, digest, page_id) of the .warc.gz files named in column `file`."""
+    """The index (file, offset, length, url, digest, page_id) of the .warc.gz files named in column `file`, whoever wrote them.
+
+    * a record without URL, payload digest or page id has null there; records of any type have a row;
+    * empty files: no row; a file that is cut off, or no series of gzip members of a record each: an error;
+    * a file named twice is indexed twice; a null name is an error; an empty table gives an empty index.
+    """
     # a row stands for a file: the number of tasks is said, lest adaptive execution judge it by the rows' bytes
     return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(_index_batches, INDEX)
 
@@ -187,11 +232,14 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 block = opened.read_at(length, start)
                 rows = []
                 for offset, n in inside:
-                    headers, body = parse(zlib.decompress(block[offset - start : offset - start + n], 31))
-                    if digest_of(body) != headers["warc-payload-digest"]:
-                        raise ValueError(f"digest mismatch at {offset} of {at}")
+                    headers, inner = parse(zlib.decompress(block[offset - start : offset - start + n], 31))
+                    body, text = payload(headers, inner)
+                    try:
+                        digest = verified(headers.get("warc-payload-digest"), body)
+                    except ValueError as error:
+                        raise ValueError(f"at {offset} of {at}: {error}") from error
                     url, page = headers.get("warc-target-uri"), headers.get("x-page-id")
-                    rows.append((None if page is None else int(page), None if url is None else unquote(url), None if "x-null-payload" in headers else body.decode(), headers["warc-payload-digest"]))
+                    rows.append((None if page is None else int(page), None if url is None else unquote(url.strip("<>")), None if "x-null-payload" in headers else text, digest))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["page_id", "url", "html", "digest"])
             i = j
     if opened is not None:
@@ -199,19 +247,24 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def read_records(selected: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest) of the records in `selected`, rows of an index; digests are verified."""
+    """(page_id, url, html, digest) of the records in `selected`, rows of an index; digests are verified.
+
+    * records of other writers: HTTP heads are left out, digests may be SHA-1 in base32, or missing; then it is that of the body;
+    * a null html, page id or URL comes back null; other charsets are decoded as stated;
+    * a row that is selected twice gives its record twice; other columns of `selected`, of any name, are not read;
+    * a record longer than READ_BYTES is a read by itself; an empty selection gives an empty result.
+    """
     part = selected.select("file", "offset", "length", F.floor(F.col("offset") / TASK_BYTES).alias("part"))
     tasks = part.agg(F.approx_count_distinct(F.struct("file", "part"))).first()[0]  # said, as in index_warc()
     return part.repartition(max(1, tasks), "file", "part").sortWithinPartitions("file", "offset").drop("part").mapInArrow(_read_batches, "page_id long, url string, html string, digest string")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """`pages` written as WARC files in the shared folder, indexed, and all records read back by the index.
+    """`pages` written as WARC files in the shared folder with their index, and all records read back by it.
 
     * null page_id, url or html: come back null (a null html has the digest of no bytes);
     * empty and very long html: as they are; a record longer than a read is a read by itself;
     * repeated rows and URLs: a record and a result row each;
     * empty table: an empty result; other columns, of any name, aren't written.
     """
-    files = write_warc(pages, scratch(spark, "warc"))
-    return read_records(settled(index_warc(files)))
+    return read_records(write_warc(pages, scratch(spark, "warc")))
