@@ -340,6 +340,7 @@ def _shared(spark: SparkSession, model_path: str):
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_pieces) of every row, with the pieces that the sentencepiece library gives.
 
+    * a vocabulary that isn't of merge type with byte fallback, or that normalises texts, is an error;
     * null text: null ids, 0 pieces; empty text: no ids;
     * very long texts and words: encoded whole;
     * any character, control characters and U+2581 among them: as the library does;
