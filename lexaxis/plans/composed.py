@@ -24,7 +24,9 @@ def flagship_doc_lookup(c):
     rare = lexicon.first(c.table("lexicon").where("freq = 1")).select(F.col("str").alias("word"), F.col("id").alias("word_id"))
     hit = c.table("postings").join(F.broadcast(rare), "word_id")  # one row
     placed = segments.find_containing(hit.select("word", "cpos"), c.table("seg_doc").select("seg_id", "start", "end", "doc_id", "lang", "source"))
-    return concordance.text_of(c.table("tokens"), placed).select("word", "doc_id", "lang", "source", "n_tokens", "text")
+    span = placed.select("start", "end").first()  # one row, by which the scan of the tokens is pruned
+    tokens = positions.between(c.table("tokens"), *(span or (0, 0)))
+    return concordance.text_of(tokens, placed).select("word", "doc_id", "lang", "source", "n_tokens", "text")
 
 
 @query("select ln.seg_id, cpos, word from ln join tok using (doc_id, line_no) where ln.seg_id in (select l.seg_id from tok t join ln l using (doc_id, line_no) where t.word_id = 30)")
