@@ -95,6 +95,9 @@ class Scanner:
             raw = np.frombuffer(text.encode(), np.uint8)
             self.shingles.append(np.unique(shingled(raw, np.array([0, len(raw)]))[0]))
             self.levels.setdefault(level_of(count), []).append(i)
+        own = {name: [x for x, n in zip(self.shingles, self.names, strict=True) if n == name] for name in templates}
+        #: Pairs of licenses of which some notices have half their shingles in common, as versions of one license do.
+        self.alike = {(a, b) for a in own for b in own if a != b and any(2 * len(np.intersect1d(x, y)) >= min(len(x), len(y)) for x in own[a] for y in own[b])}
         self.bands = {level: np.array([[(self.shingles[i] * _FACTOR[b] + _SHIFT[b]).min() for b in range(BANDS)] for i in own]) for level, own in self.levels.items()}
         self.table = {}
         for level, bands in self.bands.items():
@@ -104,9 +107,12 @@ class Scanner:
             self.table[level] = bits
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, str], tuple[float, int]]:
-        """(document, license) -> (greatest containment, first word of the first window that has it)."""
+        """(document, license) -> (greatest containment, first word of the first window that has it).
+
+        Of licenses that are alike, one whose window overlaps that of another with a greater containment doesn't count.
+        """
         value, doc, position = shingled(data, offsets)
-        found: dict[tuple[int, str], tuple[float, int]] = {}
+        found: dict[tuple[int, str], tuple[float, int, int]] = {}
         if not len(value):
             return found
         block = position // STRIDE
@@ -134,9 +140,17 @@ class Scanner:
                     inside = value[start[w] : end[follow[w]]]
                     share = float(np.isin(self.shingles[i], inside).mean())
                     key, first = (int(of[w]), self.names[i]), int(number[w]) * (STRIDE << level)
-                    if share >= self.threshold and (share, -first) > found.get(key, (0.0, 0)):
-                        found[key] = (share, -first)
-        return {key: (share, -first) for key, (share, first) in found.items()}
+                    if share >= self.threshold and (share, -first) > found.get(key, (0.0, 0))[:2]:
+                        found[key] = (share, -first, first + (2 * STRIDE << level))
+        by_doc: dict[int, list[tuple[str, float, int, int]]] = {}
+        for (d, name), (share, first, stop) in found.items():
+            by_doc.setdefault(d, []).append((name, share, -first, stop))
+        return {
+            (d, name): (share, first)
+            for d, hits in by_doc.items()
+            for name, share, first, stop in hits
+            if not any((name, other) in self.alike and more > share and start < stop and first < end for other, more, start, end in hits)
+        }
 
 
 def _scan_batches(scanner: Scanner):
@@ -161,7 +175,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
     `templates` has the notices of each license. `containment` is the share of a
     notice's distinct shingles in the window that has most of them, at least
     `threshold`; `first_word` is where the first such window begins. A notice of
-    three to five words must stand there word for word.
+    three to five words must stand there word for word. Of licenses whose notices
+    have half their shingles in common, such as two versions of one, the lesser
+    containment doesn't count where the windows overlap.
 
     * null, empty or short text (under three words): no results;
     * very long text: all its windows count;

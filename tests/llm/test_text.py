@@ -430,9 +430,14 @@ def contained(text):
         for at in range(0, len(words), half):
             # a shingle belongs to the window in which it begins
             share = len(own & runs(words[at : at + 2 * half + licenses.SHINGLE - 1])) / len(own)
-            if share >= licenses.THRESHOLD and (share, -at) > found.get(name, (0, 0)):
-                found[name] = (share, -at)
-    return {name: (round(share, 4), -at) for name, (share, at) in found.items()}
+            if share >= licenses.THRESHOLD and (share, -at) > found.get(name, (0, 0))[:2]:
+                found[name] = (share, -at, at + 2 * half)
+
+    def beaten(a, b):
+        same = any(2 * len(x & y) >= min(len(x), len(y)) for n, s in NOTICES if n == a for m, t in NOTICES if m == b for x, y in [(runs(licenses.plain_words(s)), runs(licenses.plain_words(t)))])
+        return a != b and found[b][0] > found[a][0] and -found[b][1] < found[a][2] and -found[a][1] < found[b][2] and same
+
+    return {name: (round(share, 4), -at) for name, (share, at, _) in found.items() if not any(beaten(name, other) for other in found)}
 
 
 def as_rows(df):
@@ -466,6 +471,15 @@ def test_notices_that_are_said_otherwise(spark):
     assert not {d for d, _ in found} & {3, 4}
 
 
+def test_versions_are_told_apart(spark):
+    lines = ["This work is licensed under the GNU General Public License, version 3.", "licensed under the GNU General Public License version 2", licenses.TEMPLATES["agpl-3.0"][0], licenses.TEMPLATES["lgpl-2.1"][0], licenses.TEMPLATES["bsd-2-clause"][0], licenses.TEMPLATES["bsd-3-clause"][0]]
+    both = " ".join([lines[0], "x " * 40, lines[1]])
+    found = {}
+    for d, name in as_rows(licenses.scan_licenses(spark.createDataFrame(list(enumerate([*lines, both])), "doc_id long, text string"))):
+        found.setdefault(d, set()).add(name)
+    assert found == {0: {"gpl-3.0"}, 1: {"gpl-2.0"}, 2: {"agpl-3.0"}, 3: {"lgpl-2.1"}, 4: {"bsd-2-clause"}, 5: {"bsd-3-clause"}, 6: {"gpl-2.0", "gpl-3.0"}}
+
+
 @pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
 def test_each_notice_is_retrieved_with_high_probability(name):
     assert all(licenses.guarantee(notice) > 0.95 for notice in licenses.TEMPLATES[name])
