@@ -29,6 +29,8 @@ TOP_K = 10
 #: Documents and bytes of text of a shard; a longer text is a shard by itself.
 SHARD_DOCS = 1 << 13
 SHARD_BYTES = 32 << 20
+#: Bytes of text that are tokenised at once.
+SLICE_BYTES = 4 << 20
 #: Queries, and bytes of their text, of one pass over the index; more are further passes. Bounds what is broadcast; a longer query is a block by itself.
 BLOCK_QUERIES = 2000
 BLOCK_BYTES = 8 << 20
@@ -53,11 +55,27 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct terms, term, text, times): the last three by term, then text."""
-    each, of = tokens(texts)
-    coded = each.dictionary_encode()
-    key, times = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(texts), 1) + of, return_counts=True)
-    return coded.dictionary, key // max(len(texts), 1), key % max(len(texts), 1), times
+    """(distinct terms, term, text, times): the last three by term, then text. Texts are cut SLICE_BYTES at a time, which bounds the memory it takes."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    names, terms, ofs, counts, at = [], [], [], [], 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        each, of = tokens(texts.slice(at, stop - at))
+        coded = each.dictionary_encode()
+        key, times = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (stop - at) + of, return_counts=True)
+        names.append(coded.dictionary.cast(pa.large_string()))
+        terms.append((key // (stop - at)).astype(np.int32))
+        ofs.append((key % (stop - at) + at).astype(np.int32))
+        counts.append(times.astype(np.uint32))
+        at = stop
+    if not names:
+        return pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+    whole = pa.concat_arrays(names).dictionary_encode()
+    ids = whole.indices.to_numpy(zero_copy_only=False)
+    starts = np.cumsum([0, *map(len, names)])
+    term = np.concatenate([ids[s:][x] for s, x in zip(starts.tolist(), terms, strict=False)])
+    order = np.argsort(term, kind="stable")  # slices ascend by text
+    return whole.dictionary, term[order], np.concatenate(ofs)[order], np.concatenate(counts)[order]
 
 
 def _index_row(rid: pa.Array, doc_id: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
@@ -90,6 +108,7 @@ def _index(docs_a_shard: int):
         def row():
             made = _index_row(*(pa.concat_arrays([b.column(i) for b in held]) for i in range(3)))
             held.clear()
+            pa.default_memory_pool().release_unused()
             return [] if made is None else [made]
 
         rows = size = 0
@@ -119,8 +138,11 @@ class Shard:
         self.size, self.doc, own = len(length), doc, terms >= 0
         self.start, self.end, self.top = np.zeros(len(idf), np.int64), np.zeros(len(idf), np.int64), np.zeros(len(idf))
         norm = K1 * (1 - B + B * length / mean)
-        weight = np.repeat(np.where(own, idf[terms], 0.0), np.diff(starts))
-        self.impact = np.floor(SCALE * (weight * (times * (K1 + 1) / (times + norm[doc]))) + 0.5)
+        self.impact = times * (K1 + 1) / (times + norm[doc])
+        self.impact *= np.repeat(np.where(own, idf[terms], 0.0), np.diff(starts))
+        self.impact *= SCALE
+        self.impact += 0.5
+        np.floor(self.impact, out=self.impact)
         self.start[terms[own]], self.end[terms[own]] = starts[:-1][own], starts[1:][own]
         if len(doc):
             self.top[terms[own]] = np.maximum.reduceat(np.r_[self.impact, 0.0], starts[:-1])[own]
@@ -200,7 +222,7 @@ def _search(block, mean: float, k: int):
             for row in _rows(batch):
                 at = pc.index_in(_names(row), vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
                 rid, length = np.array(row["rid"]), np.array(row["length"])
-                shard = Shard(np.frombuffer(row["docs"], np.uint16).astype(np.int64), np.frombuffer(row["times"], np.uint32), np.frombuffer(row["starts"], np.int64), at, length, idf, mean)
+                shard = Shard(np.frombuffer(row["docs"], np.uint16), np.frombuffer(row["times"], np.uint32), np.frombuffer(row["starts"], np.int64), at, length, idf, mean)
                 doc_id = np.array([none if x is None else x for x in row["doc_id"]])
                 order = np.empty(len(rid), np.int64)
                 order[np.lexsort((rid, doc_id))] = np.arange(len(rid))

@@ -343,6 +343,7 @@ def test_many_queries_go_in_blocks(spark, docs, monkeypatch):
     assert sorted(map(tuple, topk.search(docs, queries, 3).collect())) == whole
     monkeypatch.setattr(topk, "SHARD_BYTES", 2000)
     monkeypatch.setattr(topk, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(topk, "SLICE_BYTES", 500)
     assert sorted(map(tuple, topk.search(docs, queries, 3).collect())) == whole
 
 
