@@ -79,7 +79,7 @@ def freq_list_regex(c):
     return lexicon.regex_full(c.table("lexicon"), ".*[äöü].*").select("id", "str", "freq")
 
 
-@query("select pattern, coalesce(count(id), 0) as types, cast(coalesce(sum(freq), 0) as bigint) as tokens from (values " + ", ".join(f"({_quoted(p)})" for p in SUITE) + ") as p(pattern) left join lex on regexp_full_match(str, pattern) group by pattern")
+@query(" union all ".join(f"select {_quoted(p)} as pattern, count(*) as types, cast(coalesce(sum(freq), 0) as bigint) as tokens from lex where regexp_full_match(str, {_quoted(p)})" for p in SUITE))
 def regex_suite(c):
     """Types and tokens of every expression, in one scan of the lexicon."""
     lex = c.table("lexicon")
@@ -144,12 +144,12 @@ def access_windows_sequential(c):
     return positions.windows(c.table("tokens").select("cpos", "word"), spans).select("window_id", "cpos", "word")
 
 
-@query(f'select i, k.cpos, ln.seg_id from (select i, {_SCATTERED} as cpos from range((select count(*) from tok)) as r(i)) k asof join ln on k.cpos >= ln."start" where k.cpos < ln."end"')
+@query(f'select i, cpos, ln.seg_id from (select i, {_SCATTERED} as cpos from range((select count(*) from tok)) as r(i)) k join t0 using (cpos) join ln using (doc_id, line_no)')
 def access_segment_lookup(c):
     return segments.find_containing(_keys(c), c.table("seg_line").select("seg_id", "start", "end")).select("i", "cpos", "seg_id")
 
 
-@query(f'select window_id, p.cpos, ln.seg_id from (select window_id, unnest(range("start", "end")) as cpos from ({_WINDOWS}) w) p asof join ln on p.cpos >= ln."start" where p.cpos < ln."end"')
+@query(f'select window_id, cpos, ln.seg_id from (select window_id, unnest(range("start", "end")) as cpos from ({_WINDOWS}) w) p join t0 using (cpos) join ln using (doc_id, line_no)')
 def access_segment_lookup_windows(c):
     """The segment of every position of every window."""
     inside = _windows(c).select("window_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("cpos"))

@@ -27,7 +27,7 @@ def seg_scan(c):
     return c.table("seg_line").select(*_SEG, "doc_id", "line_no")
 
 
-@query('select cpos, seg_id from tok asof join ln on tok.cpos >= ln."start" where cpos < ln."end"')
+@query("select cpos, seg_id from t0 join ln using (doc_id, line_no)")
 def seg_find_containing(c):
     return segments.find_containing(c.table("tokens").select("cpos"), c.table("seg_line").select(*_SEG)).select("cpos", "seg_id")
 
