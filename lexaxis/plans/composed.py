@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexaxis.operators import concordance, lexicon, positions, postings, segments
-from lexaxis.plans.registry import encoded, query
+from lexaxis.plans.registry import as_vrt, encoded, query
 from lexaxis.sources import vrt
 
 #: Regular expressions that match as a whole; the same text means the same in Spark and in the oracle.
@@ -195,7 +195,7 @@ def decode_vrt(c):
 
 
 def _events(c):
-    return vrt.events(c.spark, f"{c.path}/vrt")
+    return vrt.events(c.spark, as_vrt(c))
 
 
 @query("select row_number() over (order by cpos, place) - 1 as line_no, kind, tag, cast(sum((kind = 'token')::integer) over (order by cpos, place rows unbounded preceding) - (kind = 'token')::integer as bigint) as cpos, line as value from vr")

@@ -14,6 +14,7 @@ from lexaxis.sources.shared import scratch
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 _opened: dict[tuple, corpus.Corpus] = {}
+_written: set[str] = set()
 
 #: Axis, lexicon and layers, for the oracle.
 CTE = r"""
@@ -51,12 +52,18 @@ def encoded(spark: SparkSession, sf_dir: str) -> corpus.Corpus:
     key = _stamp(spark, sf_dir)
     if key not in _opened:
         at = scratch(spark, "corpus")
-        made = corpus.encode(spark, sf_dir, at)
-        vrt.write(vrt.decode(made.table("tokens"), made.table("seg_doc"), made.table("seg_line")), f"{at}/vrt")
-        _opened[key] = made
+        _opened[key] = corpus.encode(spark, sf_dir, at)
     return _opened[key]
 
 
+def as_vrt(c: corpus.Corpus) -> str:
+    """The folder of the corpus as VRT files, written when it is first asked for."""
+    if c.path not in _written:
+        vrt.write(vrt.decode(c.table("tokens"), c.table("seg_doc"), c.table("seg_line")), f"{c.path}/vrt")
+        _written.add(c.path)
+    return f"{c.path}/vrt"
+
+
 def query(sql: str | None = None, plain: bool = False):
     """Registers a function of the corpus, or with plain=True of (spark, sf_dir); `sql` goes after CTE."""
 

@@ -134,11 +134,11 @@ def test_command_line(spark, source, tmp_path, capsys):
 
 
 def test_files_hold_the_corpus_in_order(spark, tmp_path):
-    from lexaxis.plans.registry import encoded
+    from lexaxis.plans.registry import as_vrt, encoded
 
     made = encoded(spark, "/root/testdata/sf0.001")
     want = [r.line for r in vrt.decode(made.table("tokens"), made.table("seg_doc"), made.table("seg_line")).orderBy("cpos", "place").collect()]
-    assert [r.value for r in vrt.events(spark, f"{made.path}/vrt").orderBy("line_no").collect()] == want
+    assert [r.value for r in vrt.events(spark, as_vrt(made)).orderBy("line_no").collect()] == want
 
 
 def test_stream(spark, tmp_path):
