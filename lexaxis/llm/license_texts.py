@@ -54,7 +54,8 @@ def _gnu(what: str, name: str, version: str) -> str:
 
 def _gnu_only(what: str, name: str) -> str:
     hope = f"{what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"
-    return f"{hope}; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+    purpose = "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+    return f"{hope}; {purpose}. See the {name} for more details."
 
 
 def _creative(kind: str, version: str) -> tuple[str, ...]:
