@@ -1,13 +1,12 @@
-"""Near-duplicate documents by SimHash fingerprints joined on pigeonhole blocks.
+"""Near-duplicate documents by SimHash fingerprints, all of them compared with all.
 
 A document's fingerprint has BITS bits. Its features are its distinct words;
-each bit is the majority of that bit over the features' hashes. The fingerprint
-is split into BLOCKS equal blocks. Two documents are *close* if at most
-`max_distance` bits differ. Documents that differ in fewer bits than there are
-blocks share a block for certain; at larger distances, up to `max_distance`,
-they share one with high probability (the tests measure the recall against all
-pairs). Documents that share a block meet in one bucket, where the Hamming
-distance of all pairs is settled on the whole fingerprints.
+each bit is the majority of that bit over the features' hashes. Two documents
+are *close* if at most `max_distance` bits differ. The distinct fingerprints
+fall into blocks of rows, and each two blocks meet in one bucket, so that no
+close pair is missed. A bucket is compared in tiles: the distance in the first
+FIRST bits comes, three rows at once, from one product of matrices, and only
+pairs that are within the limit there are settled on the whole fingerprints.
 """
 
 from __future__ import annotations
@@ -24,10 +23,14 @@ from lexaxis.llm.graph import components
 from lexaxis.llm.textbatch import mix, word_hashes
 
 BITS = 512
-BLOCKS = 32
 MAX_DISTANCE = 96
-#: Buckets up to this size are compared as shifted arrays, larger ones by search from member to member.
-SMALL = 48
+#: Blocks of rows, and the least and greatest number of rows of one: fewer blocks for small tables, more for very large ones. A row is sent as many times.
+BLOCKS = 16
+BLOCK_LEAST, BLOCK_MOST = 1 << 10, 1 << 18
+#: Bits that are compared first. A product's sums, of three rows in eight bits each, stay below 2**24 for up to 253, where float32 is exact.
+FIRST = 253
+#: Rows of a tile on the left (a multiple of three) and on the right, and pairs that are settled at once.
+LEFT, RIGHT, SETTLE = 1536, 2048, 1 << 16
 
 _WORDS = BITS // 64
 _SPREAD = (((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)).view(np.uint64).ravel()
@@ -75,70 +78,135 @@ def fingerprints(work: DataFrame) -> DataFrame:
     return work.mapInArrow(_fingerprint_batches, "rid long, doc_id long, fp binary")
 
 
-def bucket_edges(key: np.ndarray, node: np.ndarray, fp: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, bucket by bucket, just what the close pairs of that bucket connect.
+def _first_bits(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first bits as 0 and 1, half the number of ones rounded down)."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, count=FIRST, bitorder="little")
+    return bits, bits.sum(1, dtype=np.int32) // 2
 
-    `key` is sorted. Small buckets give each close pair. In a large one, a
-    member that is reached is compared with all members not reached so far, so
-    that each component comes out as a star: the components are exact, and
-    thousands of copies cost one comparison each.
+
+def _left(fp: np.ndarray) -> np.ndarray:
+    """Operand of a third of the rows: row q holds rows q, q + third and q + 2 * third, times 1, 2**8 and 2**16."""
+    third = -(-len(fp) // 3)
+    each = np.zeros((3 * third, FIRST + 3), np.float32)
+    each[: len(fp), :FIRST], half = _first_bits(fp)
+    each[: len(fp), FIRST], each[: len(fp), FIRST + 1] = 128 - half, 1
+    return each[:third] + 256 * each[third : 2 * third] + 65536 * each[2 * third :]
+
+
+def _right(fp: np.ndarray) -> np.ndarray:
+    each = np.zeros((len(fp), FIRST + 3), np.float32)
+    each[:, :FIRST], half = _first_bits(fp)
+    each[:, FIRST], each[:, FIRST + 1] = 1, -half
+    return each.T
+
+
+def _perhaps(left: np.ndarray, right: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the left and right tile whose first bits differ in at most `max_distance`, or one or two more; of the left there can be up to two too many.
+
+    An eight bits' sum is 128 + ones in common - half the ones of either side,
+    that is 128 less half the distance, rounded up or one more.
+    """
+    sums = np.matmul(left, right).astype(np.int32)
+    sums += (min(max_distance, FIRST) // 2) * 0x010101
+    sums &= 0x808080
+    flat = sums.ravel()
+    if len(flat) % 2 == 0:  # looked through two at a time
+        two = np.flatnonzero(flat.view(np.int64)) * 2
+        at = np.concatenate([two, two + 1])
+    else:
+        at = np.flatnonzero(flat)
+    hits = flat[at]
+    third, width = sums.shape
+    q, j = np.divmod(at, width)
+    own = [np.flatnonzero(hits & (128 << (8 * k))) for k in range(3)]
+    return np.concatenate([q[x] + k * third for k, x in enumerate(own)]), np.concatenate([j[x] for x in own])
+
+
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of rows i and j; root[x] is the least row of x's component, before and after."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def _roots(fp: np.ndarray, cut: int, max_distance: int) -> np.ndarray:
+    """The least row of each row's component, by the close pairs of a row before `cut` and one from there on, or of all rows if cut is 0.
+
+    Pairs that are joined already aren't settled, so that thousands of near
+    copies give no more than a link each.
+    """
+    root = np.arange(len(fp))
+    lefts = [(at, _left(fp[at : min(at + LEFT, cut or len(fp))])) for at in range(0, cut or len(fp), LEFT)]
+    for start in range(cut, len(fp), RIGHT):
+        stop = min(start + RIGHT, len(fp))
+        right = _right(fp[start:stop])
+        for at, left in lefts:
+            if at >= stop:
+                break
+            i, j = _perhaps(left, right, max_distance)
+            i, j = i + at, j + start
+            own = i < min(at + LEFT, cut or len(fp))
+            i, j = i[own], j[own]
+            for s in range(0, len(i), SETTLE):
+                x, y = i[s : s + SETTLE], j[s : s + SETTLE]
+                apart = root[x] != root[y]
+                x, y = x[apart], y[apart]
+                near = np.bitwise_count(fp[x] ^ fp[y]).sum(1, dtype=np.int32) <= max_distance
+                _join(root, x[near], y[near])
+    return root
+
+
+def bucket_edges(key: np.ndarray, node: np.ndarray, fp: np.ndarray, max_distance: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, bucket by bucket, just what the close pairs of that bucket connect; each component is a star.
+
+    `key` is sorted. In a bucket that has rows of two sides, 0 before 1, the
+    pairs are those of different sides, else all.
     """
-    us, vs = [], []
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    small = np.repeat(size <= SMALL, size)
-    for d in range(1, SMALL):
-        left = np.flatnonzero((key[d:] == key[:-d]) & small[d:]) if len(key) > d else np.zeros(0, np.int64)
-        if len(left) == 0:
-            break
-        for at in range(0, len(left), 1 << 18):
-            i = left[at : at + (1 << 18)]
-            near = i[np.bitwise_count(fp[i] ^ fp[i + d]).sum(1, dtype=np.int32) <= max_distance]
-            us.append(node[near])
-            vs.append(node[near + d])
-    for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        rest = np.arange(s, s + n)
-        while len(rest) > 1:
-            root, rest = rest[0], rest[1:]
-            reached = [root]
-            while reached and len(rest):
-                near = np.bitwise_count(fp[rest] ^ fp[reached.pop()]).sum(1, dtype=np.int32) <= max_distance
-                found = rest[near]
-                if len(found):
-                    rest = rest[~near]
-                    reached.extend(found)
-                    us.append(node[found])
-                    vs.append(np.full(len(found), node[root]))
-    if not us:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+        cut = 0 if side is None or side[s] == side[e - 1] else int(np.searchsorted(side[s:e], 1))
+        root = _roots(fp[s:e], cut, max_distance)
+        found = np.flatnonzero(root != np.arange(e - s))
+        us.append(node[s + found])
+        vs.append(node[s + root[found]])
     u, v = np.concatenate(us), np.concatenate(vs)
-    pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-    return pair[:, 0], pair[:, 1]
+    return np.maximum(u, v), np.minimum(u, v)
 
 
 def _edge_batches(max_distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def settle(parts):
-            key, node, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            u, v = bucket_edges(key, node, fp, max_distance)
+            key, side, node, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            u, v = bucket_edges(key, node, fp, max_distance, side)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            raw = batch.column(2).cast(pa.binary(BITS // 8))
+            key, side, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+            raw = batch.column(3).cast(pa.binary(BITS // 8))
             fp = np.frombuffer(raw.buffers()[1], np.uint8)[raw.offset * BITS // 8 :][: batch.num_rows * BITS // 8].view(np.uint64).reshape(-1, _WORDS)
+            part = key, side, node, fp
             cut = int(np.searchsorted(key, key[-1], side="left"))  # the last bucket may go on in the next batch
             if cut or (held and held[-1][0][-1] != key[0]):
                 if held and cut == 0:
                     yield settle(held)
                 else:
-                    yield settle([*held, (key[:cut], node[:cut], fp[:cut])])
+                    yield settle([*held, tuple(x[:cut] for x in part)])
                 held = []
-            held.append((key[cut:], node[cut:], fp[cut:]))
+            held.append(tuple(x[cut:] for x in part))
         if held:
             yield settle(held)
 
@@ -146,24 +214,28 @@ def _edge_batches(max_distance: int):
 
 
 def close_edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (u, v) among distinct fingerprints (fp, node): their components are those of the close pairs found.
+    """Edges (u, v) among distinct fingerprints (fp, node): their components are those of all close pairs.
 
     Nodes are numbers that differ; copies have one fingerprint and hence one
-    node. Pairs that share several blocks are found several times. A null
-    fingerprint or an empty table gives no edge. A bucket is searched by one
-    task: it holds the fingerprints, 64 bytes each, that share a block.
+    node. `nodes` is read twice, so it should be settled. A null fingerprint or
+    an empty table gives no edge. Every row goes to as many buckets as there are
+    blocks, and a bucket is a task; the work grows as the square of the rows.
     """
-    step = BITS // 8 // BLOCKS
-    blocks = nodes.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b")).select(
-        F.xxhash64("b", F.expr(f"substring(fp, b * {step} + 1, {step})")).alias("key"), "node", "fp"
-    )
-    return blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_edge_batches(max_distance), "u long, v long")
+    nodes = nodes.where("fp is not null")
+    rows = nodes.count()
+    blocks = max(min(BLOCKS, -(-rows // BLOCK_LEAST)), -(-rows // BLOCK_MOST), 1)
+    own = nodes.select("node", "fp", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("own"))
+    both = own.select("node", "fp", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("other"))
+    key = "greatest(own, other) * (greatest(own, other) + 1) div 2 + least(own, other)"
+    placed = both.select(F.expr(key).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fp")
+    by_bucket = placed.repartitionById(blocks * (blocks + 1) // 2, F.col("key").cast("int"))
+    return by_bucket.sortWithinPartitions("key", "side").mapInArrow(_edge_batches(max_distance), "u long, v long")
 
 
 def _groups(work: DataFrame, max_distance: int) -> DataFrame:
     """(rid, doc_id, keep_rid, keep_id) of each row that another row of its group stands for."""
     prints = settled(fingerprints(work))
-    nodes = prints.groupBy("fp").agg(F.min("rid").alias("node"))
+    nodes = settled(prints.groupBy("fp").agg(F.min("rid").alias("node")))
     roots = components(close_edges(nodes, max_distance))
     members = prints.join(nodes, "fp").join(roots, "node", "left").select("rid", "doc_id", F.coalesce("root", "node").alias("label"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")

@@ -71,6 +71,47 @@ def test_buckets_large_and_small_give_the_same_groups():
     assert groups_of(zip(u.tolist(), v.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("least, left, right, settle", [(1 << 10, 1536, 2048, 1 << 16), (16, 9, 7, 5)])
+def test_close_pairs_that_share_no_block_of_bits_are_linked(spark, monkeypatch, least, left, right, settle):
+    for name, value in (("BLOCK_LEAST", least), ("LEFT", left), ("RIGHT", right), ("SETTLE", settle)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    random = np.random.default_rng(2)
+    heads = random.integers(0, 1 << 63, (120, 8), dtype=np.uint64)
+    near = np.unpackbits(heads[:80].view(np.uint8), axis=1)
+    for i, row in enumerate(near):
+        for b in range(32):  # three bits of each sixteen: 96 in all
+            row[16 * b + random.choice(16, 3, replace=False)] ^= 1
+        if i % 4 == 0:
+            row[np.flatnonzero(row == np.unpackbits(heads[i].view(np.uint8)))[0]] ^= 1  # and 97
+    fp = np.concatenate([heads, np.packbits(near, axis=1).view(np.uint64)])
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(fp)] + [(500, None)], "node long, fp binary")
+    found = {(r.u, r.v) for r in simhash.close_edges(nodes).collect()}
+    assert found == {(120 + i, i) for i in range(80) if i % 4}
+
+
+def test_many_near_copies_in_several_buckets_are_one_component(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_LEAST", 32)
+    random = np.random.default_rng(3)
+    fp = random.integers(0, 1 << 63, (1, 8), dtype=np.uint64) ^ (np.uint64(1) << random.integers(0, 63, (300, 8), dtype=np.uint64))
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(np.unique(fp, axis=0))], "node long, fp binary")
+    edges = simhash.close_edges(nodes)
+    assert edges.count() <= 10 * 300
+    assert {r.root for r in components(edges).collect()} == {0}
+
+
+@pytest.mark.parametrize("limit", [0, 1, 20, 97, 253, 254, 512])
+def test_links_are_those_of_all_pairs_at_any_limit(limit):
+    random = np.random.default_rng(limit)
+    bits = random.integers(0, 2, (60, 512), dtype=np.uint8)
+    for i in range(10, 50):
+        bits[i] = bits[i % 10]
+        bits[i, random.choice(512, min(512, max(0, limit + random.integers(-1, 2))), replace=False)] ^= 1
+    bits[50], bits[51] = 0, 1
+    fp = np.packbits(bits, axis=1).view(np.uint64)
+    want = groups_of((i, j) for i in range(60) for j in range(i + 1) if np.bitwise_count(fp[i] ^ fp[j]).sum() <= limit)
+    assert simhash._roots(fp, 0, limit).tolist() == [want[i] for i in range(60)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (7, 7), (200, 201), (None, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
