@@ -7,9 +7,12 @@ in blocks against all shards. For a query the terms are ordered by the greatest
 score that each can give in the shard; those whose bounds together stay below the
 k-th best score so far are non-essential. Only the others' postings are
 traversed; the rest are probed for the documents found, as long as these can
-still compete. A few shards are searched first: their k-th best scores are where
-the search of all others begins, so that a shard sends only what can still be
-among the best. The shards' best are merged at the end.
+still compete. Terms that many queries of a batch share and many documents hold
+are scored for the whole batch by one product of matrices, in whole numbers that
+float64 holds exactly; such a query's other lists are all added. A few shards
+are searched first: their k-th best scores are where the search of all others
+begins, so that a shard sends only what can still be among the best. The shards'
+best are merged at the end.
 """
 
 from __future__ import annotations
@@ -37,6 +40,12 @@ BLOCK_BYTES = 8 << 20
 #: Non-essential lists that are probed between two looks at which documents can still compete, and the postings of one that are added rather than searched.
 GROUP = 16
 DENSE = 2000
+#: Queries of a batch, postings that cost as much as this many entries of the product, and entries of the matrix of a batch's shared terms (8 bytes each); terms beyond are traversed.
+BATCH = 128
+GAIN = 64
+SHARED = 1 << 22
+#: Postings that are fetched at once, unless a single list has more.
+FETCH = 1 << 18
 SCALE = 1_000_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c"
@@ -152,6 +161,37 @@ class Shard:
         docs = np.concatenate([self.doc[s:e] for s, e, _ in places])
         return np.bincount(docs, np.concatenate([self.impact[s:e] if n == 1 else self.impact[s:e] * n for s, e, n in places]), self.size)
 
+    def _fetched(self, start: np.ndarray, end: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The same for many lists, whose postings are fetched by position, so many at once."""
+        size = end - start
+        stop = np.cumsum(size)
+        if len(size) > 1 and stop[-1] > FETCH:
+            half = len(size) // 2
+            return self._fetched(start[:half], end[:half], times[:half]) + self._fetched(start[half:], end[half:], times[half:])
+        at = np.repeat(start - stop + size, size)
+        at += np.arange(len(at))
+        return np.bincount(self.doc[at], self.impact[at] * np.repeat(times, size), self.size)
+
+    def shared(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(terms that are cheaper scored for all these queries at once, what they give: queries x documents)."""
+        each = np.concatenate([terms for terms, _ in queries])
+        terms, uses = np.unique(each, return_counts=True)
+        gain = uses * (self.end[terms] - self.start[terms]) * GAIN
+        worth = np.flatnonzero(gain >= len(queries) * self.size)
+        worth = np.sort(worth[np.argsort(-gain[worth], kind="stable")[: SHARED // max(1, self.size)]])
+        terms = terms[worth]
+        if not len(terms):
+            return terms, np.zeros((len(queries), 0))
+        matrix = np.zeros((len(terms), self.size))
+        for row, s, e in zip(matrix, self.start[terms].tolist(), self.end[terms].tolist(), strict=True):
+            row[self.doc[s:e]] = self.impact[s:e]
+        at = np.minimum(np.searchsorted(terms, each), len(terms) - 1)
+        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        own = terms[at] == each
+        asked = np.zeros((len(queries), len(terms)))
+        asked[of[own], at[own]] = np.concatenate([n for _, n in queries])[own]
+        return terms, asked @ matrix
+
     def search(self, terms: np.ndarray, times: np.ndarray, k: int, ids: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the k best that score `floor` at least; equal scores rank by `ids`, whose values are distinct."""
         some = self.end[terms] > self.start[terms]
@@ -175,7 +215,15 @@ class Shard:
                     at = np.minimum(np.searchsorted(self.doc[s:e], found), e - s - 1) + s
                     score[found] += np.where(self.doc[at] == found, self.impact[at] * n, 0.0)
             found = found[score[found] + upto[first] >= floor]
-        found = found[score[found] >= max(floor, 1.0)]
+        return self._best(score, found[score[found] >= max(floor, 1.0)], k, ids)
+
+    def finish(self, begun: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int, ids: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """search() for a query whose other terms give every document what `begun` says; all lists of `terms` are added."""
+        score = begun + self._fetched(self.start[terms], self.end[terms], times)
+        return self._best(score, np.flatnonzero(score >= max(floor, 1.0)), k, ids)
+
+    @staticmethod
+    def _best(score: np.ndarray, found: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         scores = score[found]
         if len(found) > 4 * k:  # only what reaches the k-th best is sorted
             keep = scores >= np.partition(scores, -k)[-k]
@@ -212,11 +260,11 @@ def _statistics(vocabulary):
 
 
 def _search(block, mean: float, k: int):
-    """`block` is broadcast: (vocabulary, idf, [(terms, times)], floors)."""
+    """`block` is broadcast: (vocabulary, idf, [(terms, times)], floors, queries in the order of their batches)."""
     none = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, queries, floors = block.value
+        vocabulary, idf, queries, floors, turn = block.value
         floors = floors.copy()
         for batch in batches:
             for row in _rows(batch):
@@ -227,13 +275,21 @@ def _search(block, mean: float, k: int):
                 order = np.empty(len(rid), np.int64)
                 order[np.lexsort((rid, doc_id))] = np.arange(len(rid))
                 docs, scores, of = [], [], []
-                for q, (terms, times) in enumerate(queries):
-                    d, s = shard.search(terms, times, k, order, floors[q])
-                    docs.append(d)
-                    scores.append(s)
-                    of.append(np.full(len(d), q))
-                    if len(d) == k:
-                        floors[q] = max(floors[q], s.min())
+                for start in range(0, len(turn), BATCH):
+                    batch_turn = turn[start : start + BATCH]
+                    shared, given = shard.shared([queries[q] for q in batch_turn])
+                    for q, begun in zip(batch_turn, given, strict=True):
+                        terms, times = queries[q]
+                        if len(shared):
+                            rest = shared[np.minimum(np.searchsorted(shared, terms), len(shared) - 1)] != terms
+                            d, s = shard.finish(begun, terms[rest], times[rest], k, order, floors[q])
+                        else:
+                            d, s = shard.search(terms, times, k, order, floors[q])
+                        docs.append(d)
+                        scores.append(s)
+                        of.append(np.full(len(d), q))
+                        if len(d) == k:
+                            floors[q] = max(floors[q], s.min())
                 if docs:
                     place = pa.array(np.concatenate(docs))
                     yield pa.RecordBatch.from_arrays(
@@ -264,16 +320,18 @@ def _block(index: DataFrame, seeds: int, shards: int, n: int, mean: float, items
     cut = np.searchsorted(of[by_query], np.arange(len(texts) + 1))
     queries = [(term[by_query[s:e]], times[by_query[s:e]]) for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
     floors = np.zeros(len(texts))
+    often = [int(t[np.argmax(df[t])]) if len(t) else -1 for t, _ in queries]  # texts of a language mostly have the same most frequent term
+    turn = [q for q in np.argsort(often, kind="stable").tolist() if often[q] >= 0]
     best = lambda rows, upto: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "rid"))).where(F.col("rank") <= upto)
     parts = index.withColumn("seed", F.pmod(F.xxhash64(F.get("rid", F.lit(0))), F.lit(shards)) < seeds) if seeds < shards else index.withColumn("seed", F.lit(True))
-    sent_all = spark.sparkContext.broadcast((sent.value, idf, queries, floors))
+    sent_all = spark.sparkContext.broadcast((sent.value, idf, queries, floors, turn))
     at = scratch(spark, "seeds")
     best(parts.where("seed").drop("seed").mapInArrow(_search(sent_all, mean, k), _FOUND), k).drop("rank").write.parquet(at)
     found = spark.read.schema(_FOUND).parquet(at)
     if seeds < shards:
         for r in found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low")).where(F.col("n") == k).collect():  # a row a query
             floors[r.query] = r.low
-        sent_more = spark.sparkContext.broadcast((sent.value, idf, queries, floors))
+        sent_more = spark.sparkContext.broadcast((sent.value, idf, queries, floors, turn))
         found = found.unionByName(parts.where("not seed").drop("seed").mapInArrow(_search(sent_more, mean, k), _FOUND))
     names = spark.createDataFrame(list(enumerate(items)), "query long, item_id long")
     best(found, k).join(bounded(names, len(items), 32), "query").select("item_id", "doc_id", "score", "rank").write.mode("append").parquet(to)

@@ -327,6 +327,30 @@ def test_maxscore_is_exhaustive_search(monkeypatch, group, dense):
                 assert found.tolist() == order.tolist() and scores.tolist() == score[order].tolist()
 
 
+@pytest.mark.parametrize(("gain", "entries"), [(64, 1 << 22), (10**9, 1 << 22), (10**9, 1400)])
+def test_terms_that_queries_share_are_scored_at_once(monkeypatch, gain, entries):
+    monkeypatch.setattr(topk, "GAIN", gain)
+    monkeypatch.setattr(topk, "SHARED", entries)
+    monkeypatch.setattr(topk, "FETCH", 300)
+    source = np.random.default_rng(4)
+    n, vocab = 200, 60
+    key, times = np.unique(np.minimum(source.zipf(1.4, 5000) - 1, vocab - 1) * n + source.integers(0, n, 5000), return_counts=True)
+    cut = np.searchsorted(key // n, np.arange(vocab + 1))
+    lengths = np.bincount(key % n, times, n)
+    shard = topk.Shard(key % n, times, cut, np.arange(vocab), lengths, source.random(vocab) * 5, lengths.mean())
+    ids = source.permutation(n)
+    queries = [(x, source.integers(1, 3, len(x))) for x in (np.unique(source.integers(0, vocab, 12)) for _ in range(40))]
+    terms, given = shard.shared(queries)
+    assert 0 < len(terms) <= entries // n
+    for (asked, count), begun in zip(queries, given, strict=True):
+        rest = ~np.isin(asked, terms)
+        for k in (1, 5, 300):
+            plain, best = shard.search(asked, count, k, ids)
+            for floor in (0.0, *best[-1:] / 2, *best[-1:]):
+                found, scores = shard.finish(begun, asked[rest], count[rest], k, ids, floor)
+                assert found.tolist() == plain.tolist() and scores.tolist() == best.tolist()
+
+
 def test_search_of_hard_rows(spark, nasty, empty):
     queries = spark.createDataFrame([(1, "eins drei!"), (1, "eins drei!"), (2, None), (3, ""), (None, "nummer"), (4, "nichtda")], "item_id long, text string")
     found = topk.search(nasty, queries, 2).collect()
