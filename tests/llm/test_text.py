@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexaxis.llm import langid, licenses, packing, pieces, sharding, topk, warc
+from lexaxis.llm import langid, licenses, packing, pieces, sharding, simhash, topk, warc
 from lexaxis.llm.common import scratch
 from lexaxis.llm.queries import MODEL
 
@@ -550,6 +550,21 @@ def through(spark, table, tmp_path, label):
     return found[1:]
 
 
+def test_pipeline_links_near_copies_whose_fingerprints_share_no_block_of_bits(spark):
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words)] + [" ".join(words[: 120 - n] + [f"x{n}y{t}z{i}" for i in range(n)]) for n in range(15, 30) for t in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)))] * 2 + [pa.array(texts)], ["rid", "doc_id", "text"])
+    fp = np.frombuffer(b"".join(next(simhash._fingerprint_batches(iter([batch]))).column(2).to_pylist()), np.uint64).reshape(-1, 8)
+    differ = fp[1:] ^ fp[0]
+    apart = (np.bitwise_count(differ).sum(1) <= simhash.MAX_DISTANCE) & (differ.view(np.uint16) != 0).all(1)
+    assert apart.sum() > 3
+    for i in np.flatnonzero(apart)[:2] + 1:
+        rows = spark.createDataFrame([(0, texts[0], "de"), (1, texts[i], "de"), (2, "anderes", "de")], "doc_id long, text string, lang string")
+        assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == [0, 2]
+
+
 def test_pipeline_of_an_empty_table_and_hard_rows(spark, empty, nasty, tmp_path):
     assert [t.count() for t in through(spark, empty, tmp_path, "empty")] == [0, 0, 0, 0]
     nasty.withColumn("lang", F.lit(None).cast("string")).write.parquet(str(tmp_path / "in"))
