@@ -49,3 +49,57 @@ def in_blocks(df: DataFrame, order: list[Column], name: str = "block") -> DataFr
     from lexaxis.sources.shared import settled
 
     return settled(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
+class Blocks:
+    """A table in an order, whose rows have `block`, and under "<counter>_before" the sum of the block's earlier rows; `offsets` has the sums of earlier blocks."""
+
+    def __init__(self, df: DataFrame, counters: list[str]) -> None:
+        sums = df.groupBy("block").agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in counters if c != "rows"))
+        self.df, self.offsets, self._totals = df, {}, dict.fromkeys(counters, 0)
+        for r in sums.orderBy("block").collect():  # a row a task
+            self.offsets[r.block] = dict(self._totals)
+            for c in counters:
+                self._totals[c] += r[c]
+
+    def total(self, counter: str) -> int:
+        return self._totals[counter]
+
+    def placed(self, names: dict[str, str]) -> DataFrame:
+        """The rows with, under each name, the sum of its counter over all earlier ones; a scan and no shuffle."""
+        fields = ", ".join(f"`{name}_of_block` long" for name in names)
+        rows = [(block, *(sums[c] for c in names.values())) for block, sums in self.offsets.items()]
+        offsets = self.df.sparkSession.createDataFrame(rows, f"block int, {fields}")
+        joined = self.df.join(F.broadcast(offsets), "block")  # a row a task
+        return joined.withColumns({name: F.col(f"{name}_of_block") + F.col(f"{c}_before") for name, c in names.items()}).drop(*(f"{name}_of_block" for name in names))
+
+
+def in_order(df: DataFrame, order: list[Column], path: str, counters: set[str] = frozenset(), counted=None) -> Blocks:
+    """Writes `df` range-partitioned and sorted by `order` to `path`, each task counting its rows and what `counted` gives.
+
+    `order` decides the order for certain, so a task that is repeated counts the
+    same. `counted` turns a batch into (the rows that stay, {counter: amounts}).
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+    names = sorted(counters)
+
+    def run(batches):
+        block, so_far = TaskContext.get().partitionId(), dict.fromkeys(["rows", *names], 0)
+        for batch in batches:
+            batch, amounts = counted(batch) if counted else (batch, {})
+            amounts["rows"] = np.ones(batch.num_rows, np.int64)
+            before = {}
+            for c in so_far:
+                upto = so_far[c] + np.cumsum(amounts[c], dtype=np.int64)
+                before[c] = upto - amounts[c]
+                so_far[c] = int(upto[-1]) if len(upto) else so_far[c]
+            more = [pa.array(np.full(batch.num_rows, block, np.int32)), *(pa.array(before[c]) for c in so_far), *(pa.array(amounts[c].astype(np.int64)) for c in names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "block", *(f"{c}_before" for c in so_far), *names])
+
+    schema = StructType([*df.schema.fields, StructField("block", IntegerType()), *(StructField(f"{c}_before", LongType()) for c in ["rows", *names]), *(StructField(c, LongType()) for c in names)])
+    df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return Blocks(df.sparkSession.read.schema(schema).parquet(path), ["rows", *names])

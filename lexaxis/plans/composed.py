@@ -95,7 +95,7 @@ _SCATTERED = f"(i * {_STEP} + 13) % (select count(*) from tok)"
 
 def _keys(c):
     """As many keys as there are positions, scattered over them: each position once, unless _STEP divides their number."""
-    n = len(c["tokens"])
+    n = c.size("tokens")
     return c.spark.range(n).select(F.col("id").alias("i"), ((F.col("id") * _STEP + 13) % n).alias("cpos"))
 
 
@@ -108,7 +108,7 @@ _WINDOWS = 'select i as window_id, (i * 7919 + 13) % n as "start", least(n, (i *
 
 
 def _windows(c):
-    n = len(c["tokens"])
+    n = c.size("tokens")
     start = (F.col("id") * 7919 + 13) % n
     return c.spark.range(n // 35).select(F.col("id").alias("window_id"), start.alias("start"), F.least(F.lit(n), start + 20 + (F.col("id") * 31) % 30).alias("end"))
 
@@ -130,7 +130,7 @@ def access_alternating(c):
 
 @query("select i, d, h.cpos, word from (select i, d, (i * 7919 + 13) % n + d as cpos from (select count(*) as n from tok), range((select count(*) // 7 from tok)) as r(i), (values (-50), (-10), (-3), (0), (1), (7), (42)) as o(d)) h join tok using (cpos)")
 def access_local_jumps(c):
-    n = len(c["tokens"])
+    n = c.size("tokens")
     heads = c.spark.range(n // 7).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, (-50, -10, -3, 0, 1, 7, 42)))).alias("d"), ((F.col("id") * 7919 + 13) % n).alias("head"))
     return positions.gather(c.table("tokens").select("cpos", "word"), heads.select("i", "d", (F.col("head") + F.col("d")).alias("cpos"))).select("i", "d", "cpos", "word")
 
@@ -138,7 +138,7 @@ def access_local_jumps(c):
 @query('select cpos // 35 as window_id, cpos, word from t0')
 def access_windows_sequential(c):
     """Windows of 35 positions end to end over the whole corpus."""
-    n = len(c["tokens"])
+    n = c.size("tokens")
     start = F.col("id") * 35
     spans = c.spark.range(-(-n // 35)).select(F.col("id").alias("window_id"), start.alias("start"), F.least(F.lit(n), start + 35).alias("end"))
     return positions.windows(c.table("tokens").select("cpos", "word"), spans).select("window_id", "cpos", "word")
@@ -159,7 +159,7 @@ def access_segment_lookup_windows(c):
 @query(f'select i, seg_id, "start", "end" from (select i, (i * {_STEP} + 13) % (select count(*) from ln) as seg_id from range((select count(*) from ln)) as r(i)) join ln using (seg_id)')
 def seg_random(c):
     """Segments by number in scattered order."""
-    n = len(c["seg_line"])
+    n = c.size("seg_line")
     keys = c.spark.range(n).select(F.col("id").alias("i"), ((F.col("id") * _STEP + 13) % n).alias("seg_id"))
     return keys.join(c.table("seg_line").select("seg_id", "start", "end"), "seg_id").select("i", "seg_id", "start", "end")
 

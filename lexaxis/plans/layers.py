@@ -174,7 +174,7 @@ def ptr_encode(c):
 def ptr_range_check(c):
     """Heads put back by up to 60 positions: those that leave the layer are found."""
     moved = c.table("turns").select("cpos", (F.col("cpos") - F.col("conv_id") % 7 * 10).alias("head"))
-    return values.out_of_range(moved, len(c["turns"])).select("cpos", "head")
+    return values.out_of_range(moved, c.size("turns")).select("cpos", "head")
 
 
 @query("select cpos, case when turn = 0 then cpos else cpos + (turn - (turn + 1)) end as head from turns")

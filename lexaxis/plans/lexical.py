@@ -91,7 +91,7 @@ def token_at(c):
 
 @query("select cpos, word_id from tok where cpos = 1234")
 def token_id_at(c):
-    return positions.at(c.table("tokens"), 1234).select("cpos", "word_id")
+    return positions.at(c.table("ids"), 1234).select("cpos", "word_id")
 
 
 @query("select cpos, word from tok where cpos >= 160 and cpos < 176")
@@ -106,12 +106,12 @@ def token_scan(c):
 
 @query("select cpos, word, word_id, doc_id from tok where cpos >= 1000 and cpos < 5000")
 def row_range(c):
-    return positions.between(c.table("tokens"), 1000, 5000).select("cpos", "word", "word_id", "doc_id")
+    return positions.between(c.table("tokens"), 1000, 5000).join(positions.between(c.table("ids"), 1000, 5000), "cpos").select("cpos", "word", "word_id", "doc_id")
 
 
 @query("select word_id from tok where cpos >= 1000")
 def column_range(c):
-    return positions.between(c.table("tokens"), 1000).select("word_id")
+    return positions.between(c.table("ids"), 1000).select("word_id")
 
 
 @query(f"select id, str, freq from lex where str = '{WORD}'")
@@ -294,19 +294,19 @@ def varint_blocks(c):
 @query("select cpos // 16 as block, count(*) as n, min(cpos) as first, sum(word_id)::bigint as ids from tok group by block")
 def index_blocks(c):
     """What a block of BLOCK_ROWS rows holds: its number, rows, first position and sum of ids."""
-    rows = positions.batched(c.table("tokens").select("cpos", "word_id"), codec.BLOCK_ROWS)
+    rows = positions.batched(c.table("ids").select("cpos", "word_id"), codec.BLOCK_ROWS)
     return rows.groupBy(F.col("batch").alias("block")).agg(F.count("*").alias("n"), F.min("cpos").alias("first"), F.sum("word_id").alias("ids"))
 
 
 @query("select cpos, word_id - coalesce(lag(word_id) over (partition by cpos // 16 order by cpos), 0) as gap from tok")
 def delta_encode(c):
-    return c.table("tokens").select("cpos", codec.delta_encode(F.col("word_id"), F.expr(f"cpos div {codec.BLOCK_ROWS}"), F.col("cpos")).alias("gap"))
+    return c.table("ids").select("cpos", codec.delta_encode(F.col("word_id"), F.expr(f"cpos div {codec.BLOCK_ROWS}"), F.col("cpos")).alias("gap"))
 
 
 @query("select cpos, word_id as value from tok")
 def delta_decode(c):
     block = F.expr(f"cpos div {codec.BLOCK_ROWS}")
-    gaps = c.table("tokens").select("cpos", codec.delta_encode(F.col("word_id"), block, F.col("cpos")).alias("gap"))
+    gaps = c.table("ids").select("cpos", codec.delta_encode(F.col("word_id"), block, F.col("cpos")).alias("gap"))
     return gaps.select("cpos", codec.delta_decode(F.col("gap"), block, F.col("cpos")).alias("value"))
 
 
