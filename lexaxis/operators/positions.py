@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+#: Positions of one bin; a join by bin moves a bin's rows as arrays.
+BIN = 1024
 
 
 def at(df: DataFrame, cpos: int) -> DataFrame:
@@ -17,15 +21,56 @@ def between(df: DataFrame, start: int, end: int | None = None) -> DataFrame:
     return rows if end is None else rows.where(F.col("cpos") < end)
 
 
-def gather(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Each row of `wanted` (cpos, ...) with the columns of its position; repeated positions repeat."""
-    return wanted.join(df, "cpos")
+def packed(df: DataFrame, width: int = BIN) -> DataFrame:
+    """(_bin, _first, _size, an array for each column): the runs of rows whose positions follow each other, cut at bins of `width`.
+
+    A table that ascends has a few rows a bin; one in any other order has more, and stays whole.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    others = [f for f in df.schema.fields if f.name != "cpos"]
+    schema = StructType([StructField(c, LongType()) for c in ("_bin", "_first", "_size")] + [StructField(f.name, ArrayType(f.dataType)) for f in others])
+    names = [f.name for f in others]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cpos = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            bins = cpos // width
+            begins = np.flatnonzero(np.r_[True, (np.diff(cpos) != 1) | (np.diff(bins) != 0)])
+            bounds = np.r_[begins, len(cpos)]
+            offsets = pa.array(bounds.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, column) for column in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(bins[begins]), pa.array(cpos[begins]), pa.array(np.diff(bounds)), *lists], ["_bin", "_first", "_size", *names])
+
+    return df.where("cpos is not null").select("cpos", *names).mapInArrow(run, schema)
+
+
+def gather(df: DataFrame, wanted: DataFrame, width: int = BIN) -> DataFrame:
+    """Each row of `wanted` (cpos, ...) with the columns of its position; repeated positions repeat.
+
+    `df` is moved by bins, as arrays, and hashed there, so that neither side is sorted.
+    """
+    pieces = packed(df, width).hint("shuffle_hash")
+    inside = (F.expr(f"cpos div {width}") == pieces["_bin"]) & (F.col("cpos") >= pieces["_first"]) & (F.col("cpos") < pieces["_first"] + pieces["_size"])
+    place = (F.col("cpos") - F.col("_first")).cast("int")
+    others = [c for c in wanted.columns if c != "cpos"]
+    return wanted.join(pieces, inside).select("cpos", *others, *(F.get(c, place).alias(c) for c in df.columns if c != "cpos"))
 
 
-def windows(df: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each span (window_id, start, end) exploded to its positions, which are then joined by equality."""
-    inside = spans.where("start < end").select("window_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("cpos"))
-    return inside.join(df, "cpos")
+def windows(df: DataFrame, spans: DataFrame, width: int = BIN) -> DataFrame:
+    """Each span (window_id, start, end) with the rows of its positions: spans meet the bins they reach into, and what is common is exploded."""
+    pieces = packed(df, width).hint("shuffle_hash")
+    bins = F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}")))
+    cut = spans.where("start < end").select("window_id", "start", "end", bins.alias("bin"))
+    met = cut.join(pieces, (F.col("bin") == F.col("_bin")) & (F.col("start") < F.col("_first") + F.col("_size")) & (F.col("_first") < F.col("end")))
+    others = [c for c in df.columns if c != "cpos"]
+    low, high = F.greatest("start", "_first"), F.least("end", F.col("_first") + F.col("_size"))
+    sliced = [F.slice(c, (low - F.col("_first")).cast("int") + 1, (high - low).cast("int")).alias(c) for c in others]
+    places = F.sequence(low, high - 1).alias("cpos")
+    return met.select("window_id", F.inline(F.arrays_zip(places, *sliced))).select("cpos", "window_id", *others)
 
 
 def batched(df: DataFrame, n: int) -> DataFrame:

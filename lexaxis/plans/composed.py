@@ -152,8 +152,7 @@ def access_segment_lookup(c):
 @query(f'select window_id, cpos, ln.seg_id from (select window_id, unnest(range("start", "end")) as cpos from ({_WINDOWS}) w) p join t0 using (cpos) join ln using (doc_id, line_no)')
 def access_segment_lookup_windows(c):
     """The segment of every position of every window."""
-    inside = _windows(c).select("window_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("cpos"))
-    return segments.find_containing(inside, c.table("seg_line").select("seg_id", "start", "end")).select("window_id", "cpos", "seg_id")
+    return segments.positions_within(_windows(c), c.table("seg_line").select("seg_id", "start", "end")).select("window_id", "cpos", "seg_id")
 
 
 @query(f'select i, seg_id, "start", "end" from (select i, (i * {_STEP} + 13) % (select count(*) from ln) as seg_id from range((select count(*) from ln)) as r(i)) join ln using (seg_id)')

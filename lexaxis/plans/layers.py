@@ -12,11 +12,6 @@ from lexaxis.sources import axis
 _SEG = ["seg_id", "start", "end"]
 
 
-def _start_flags(c, tokens):
-    starts = c.table("seg_line").select(F.col("start").alias("cpos"), F.lit(True).alias("hit"))
-    return tokens.select("cpos").join(starts, "cpos", "left").select("cpos", F.coalesce("hit", F.lit(False)).alias("at_start"))
-
-
 @query('select seg_id, "start", "end" from ln where seg_id = 17')
 def seg_get(c):
     return c.table("seg_line").where("seg_id = 17").select(*_SEG)
@@ -29,7 +24,7 @@ def seg_scan(c):
 
 @query("select cpos, seg_id from t0 join ln using (doc_id, line_no)")
 def seg_find_containing(c):
-    return segments.find_containing(c.table("tokens").select("cpos"), c.table("seg_line").select(*_SEG)).select("cpos", "seg_id")
+    return segments.positions_within(segments.runs(c.table("tokens").select("cpos")), c.table("seg_line").select(*_SEG)).select("cpos", "seg_id")
 
 
 @query('select seg.seg_id as doc_seg from seg join ln on seg."start" = ln."start" and seg."end" = ln."end"')
@@ -63,7 +58,7 @@ def seg_overlaps(c):
 
 @query('select cpos, cpos in (select "start" from ln) as at_start from tok')
 def seg_start_flags(c):
-    return _start_flags(c, c.table("tokens"))
+    return segments.start_flags(c.table("tokens").select("cpos"), c.table("seg_line"))
 
 
 @query('select cpos, cast(1 + case when cpos = "start" then 2 else 0 end + case when cpos = "end" - 1 then 4 else 0 end as integer) as flags from tok join ln on tok.doc_id = ln.doc_id and tok.line_no = ln.line_no')

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkValueError
 from pyspark.sql import functions as F
 
 from lexaxis.functions.parsing import int_parse, pointer_parse, set_parse
-from lexaxis.operators import concordance, lexicon, postings, segments, values
+from lexaxis.operators import concordance, lexicon, positions, postings, segments, values
 from lexaxis.operators.numbering import block_of, numbered
 from lexaxis.sources import axis, corpus
 from lexaxis.sources.corpus import Corpus, CorpusError, DanglingBase, Layer, WrongKind, check_manifest
@@ -228,3 +228,33 @@ def test_expressions_and_error_codes(spark):
     assert corpus.code_of(lambda: layer["no"])[0] == corpus.ErrorCode.NOT_FOUND
     assert corpus.code_of(layer.as_kind, "str", "int")[0] == corpus.ErrorCode.WRONG_KIND
     assert corpus.code_of(layer.as_kind, "str", "plain")[0] == corpus.ErrorCode.OK
+
+
+@pytest.mark.parametrize("width", [1, 3, 1024])
+def test_positions_meet_tables_and_segments_by_bin(spark, width):
+    layer = segs(spark, (0, 3), (3, 4), (6, 20))
+    of = {p: 0 if p < 3 else 1 if p < 4 else 2 for p in range(20) if not 4 <= p < 6}
+    spans = spark.createDataFrame([(0, 0, 9), (1, 2, 2), (2, 2, 7), (2, 3, 30), (3, 25, 30)], "window_id long, start long, end long")
+    found = sorted(map(tuple, segments.positions_within(spans, layer, width).select("window_id", "cpos", "seg_id").collect()))
+    assert found == sorted((r.window_id, p, of[p]) for r in spans.collect() for p in range(r.start, r.end) if p in of)
+    points = [5, 6, 7, 7, 8, 0, 1, 2, 3, 30, 3, 19, 20, 21]
+    df = spark.createDataFrame([(p,) for p in points], "cpos long").coalesce(1)
+    assert sorted(p for r in segments.runs(df).collect() for p in range(r.start, r.end)) == sorted(points)
+    assert sorted(map(tuple, segments.start_flags(df, layer, width).collect())) == sorted((p, p in (0, 3, 6)) for p in points)
+    assert segments.runs(df.where("false")).count() == 0
+    rows = [(p, f"w{p}" if p % 5 else None, p * 2) for p in [*range(4, 20), 3, 2, 2, 40]]  # not in order, one repeated, gaps
+    table = spark.createDataFrame(rows, "cpos long, word string, v int").coalesce(1)
+    asked = spark.createDataFrame([(i, p) for i, p in enumerate([*points, -1, -3, 2000])], "i long, cpos long")
+    assert sorted(map(repr, positions.gather(table, asked, width).select("i", "cpos", "word", "v").collect())) == sorted(map(repr, asked.join(table, "cpos").select("i", "cpos", "word", "v").collect()))
+    want = sorted(repr((r.window_id, *row)) for r in spans.collect() for row in rows if r.start <= row[0] < r.end)
+    assert sorted(repr(tuple(r)) for r in positions.windows(table, spans, width).select("window_id", "cpos", "word", "v").collect()) == want
+
+
+def test_no_position_is_shuffled_or_sorted_for_a_lookup(spark):
+    tokens = spark.range(100_000).select(F.col("id").alias("cpos"), F.lit("w").alias("word"))
+    layer = spark.range(2000).select(F.col("id").alias("seg_id"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 50).alias("end"))
+    spans = layer.select(F.col("seg_id").alias("window_id"), "start", "end")
+    found = [segments.positions_within(spans, layer), segments.start_flags(tokens, layer), positions.windows(tokens, spans), positions.gather(tokens, tokens.select("cpos")), segments.find_containing(tokens, layer), segments.uncovered(tokens, layer)]
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "+- Sort [" not in plan
