@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-#: Positions of one bin; a join by bin moves a bin's rows as arrays.
-BIN = 1024
+#: Positions of one bin; a join by bin moves a bin's rows as arrays, and the bytes of its strings are copied for each row asked for.
+BIN = 128
 
 
 def at(df: DataFrame, cpos: int) -> DataFrame:
@@ -21,31 +24,84 @@ def between(df: DataFrame, start: int, end: int | None = None) -> DataFrame:
     return rows if end is None else rows.where(F.col("cpos") < end)
 
 
+def pieces(cpos: np.ndarray, columns: dict[str, pa.Array], width: int = BIN) -> pa.RecordBatch:
+    """A row for each run of positions that follow each other, cut at bins: see packed()."""
+    bins = cpos // width
+    begins = np.flatnonzero(np.r_[True, (np.diff(cpos) != 1) | (np.diff(bins) != 0)][: len(cpos)])
+    bounds = np.r_[begins, len(cpos)]
+    size = np.diff(bounds)
+    made = {"_bin": pa.array(bins[begins]), "_first": pa.array(cpos[begins]), "_size": pa.array(size)}
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+    for name, column in columns.items():
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            texts = column.cast(pa.large_string())
+            ends = np.r_[0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))]
+            start = ends[:-1] - np.repeat(ends[begins], size)
+            if texts.null_count:
+                start = np.where(texts.is_null().to_numpy(zero_copy_only=False), -1 - start, start)
+                texts = texts.fill_null("")
+            _, offsets, data = texts.buffers()
+            from_ = int(np.frombuffer(offsets, np.int64)[texts.offset]) if len(texts) else 0
+            octets = (data or pa.py_buffer(b"")).slice(from_) if from_ else data or pa.py_buffer(b"")
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends[bounds].astype(np.int64)), octets])
+            made[name] = pa.StructArray.from_arrays([lists(pa.array(start.astype(np.int32))), whole.cast(pa.binary())], ["starts", "octets"])
+        else:
+            made[name] = lists(column)
+    return pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+
+def pieces_schema(columns: list[StructField]) -> StructType:
+    kind = lambda t: StructType.fromDDL("starts array<int>, octets binary") if isinstance(t, StringType) else ArrayType(t)
+    return StructType([StructField(c, LongType()) for c in ("_bin", "_first", "_size")] + [StructField(f.name, kind(f.dataType)) for f in columns])
+
+
 def packed(df: DataFrame, width: int = BIN) -> DataFrame:
-    """(_bin, _first, _size, an array for each column): the runs of rows whose positions follow each other, cut at bins of `width`.
+    """(_bin, _first, _size, each column): the runs of rows whose positions follow each other, cut at bins of `width`.
 
-    A table that ascends has a few rows a bin; one in any other order has more, and stays whole.
+    A column becomes an array, or of strings their bytes and where each starts
+    (-1 - start: null). A table that ascends has a few rows a bin; one in any
+    other order has more, and stays whole.
     """
-    import numpy as np
-    import pyarrow as pa
-
     others = [f for f in df.schema.fields if f.name != "cpos"]
-    schema = StructType([StructField(c, LongType()) for c in ("_bin", "_first", "_size")] + [StructField(f.name, ArrayType(f.dataType)) for f in others])
     names = [f.name for f in others]
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cpos = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            bins = cpos // width
-            begins = np.flatnonzero(np.r_[True, (np.diff(cpos) != 1) | (np.diff(bins) != 0)])
-            bounds = np.r_[begins, len(cpos)]
-            offsets = pa.array(bounds.astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, column) for column in batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(bins[begins]), pa.array(cpos[begins]), pa.array(np.diff(bounds)), *lists], ["_bin", "_first", "_size", *names])
+            yield pieces(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), dict(zip(names, batch.columns[1:], strict=True)), width)
+
+    return df.where("cpos is not null").select("cpos", *names).mapInArrow(run, pieces_schema(others))
+
 
-    return df.where("cpos is not null").select("cpos", *names).mapInArrow(run, schema)
+def _value(df: DataFrame, name: str, cpos: Column) -> Column:
+    """A packed column's value at a position of the piece."""
+    place = (cpos - F.col("_first")).cast("int")
+    if isinstance(df.schema[name].dataType, ArrayType):
+        return F.get(name, place).alias(name)
+    start, after = (F.get(F.col(name)["starts"], p) for p in (place, place + 1))
+    end = F.coalesce(F.when(after < 0, -1 - after).otherwise(after), F.octet_length(F.col(name)["octets"]))
+    return F.when(start >= 0, F.substring(F.col(name)["octets"], start + 1, end - start).cast("string")).alias(name)
+
+
+def _columns(packed: DataFrame) -> list[str]:
+    return [c for c in packed.columns if c not in ("_bin", "_first", "_size")]
+
+
+def gather_packed(table: DataFrame, wanted: DataFrame, width: int = BIN) -> DataFrame:
+    """gather() of a table that is packed already."""
+    table = table.hint("shuffle_hash")
+    inside = (F.expr(f"cpos div {width}") == table["_bin"]) & (F.col("cpos") >= table["_first"]) & (F.col("cpos") < table["_first"] + table["_size"])
+    others = [c for c in wanted.columns if c != "cpos"]
+    return wanted.join(table, inside).select("cpos", *others, *(_value(table, c, F.col("cpos")) for c in _columns(table)))
+
+
+def windows_packed(table: DataFrame, spans: DataFrame, width: int = BIN) -> DataFrame:
+    """windows() of a table that is packed already."""
+    bins = F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}")))
+    cut = spans.where("start < end").select("window_id", "start", "end", bins.alias("bin"))
+    met = cut.join(table.hint("shuffle_hash"), (F.col("bin") == F.col("_bin")) & (F.col("start") < F.col("_first") + F.col("_size")) & (F.col("_first") < F.col("end")))
+    places = F.sequence(F.greatest("start", "_first"), F.least("end", F.col("_first") + F.col("_size")) - 1)
+    each = met.select("window_id", "_first", *_columns(table), F.explode(places).alias("cpos"))
+    return each.select("cpos", "window_id", *(_value(table, c, F.col("cpos")) for c in _columns(table)))
 
 
 def gather(df: DataFrame, wanted: DataFrame, width: int = BIN) -> DataFrame:
@@ -53,24 +109,12 @@ def gather(df: DataFrame, wanted: DataFrame, width: int = BIN) -> DataFrame:
 
     `df` is moved by bins, as arrays, and hashed there, so that neither side is sorted.
     """
-    pieces = packed(df, width).hint("shuffle_hash")
-    inside = (F.expr(f"cpos div {width}") == pieces["_bin"]) & (F.col("cpos") >= pieces["_first"]) & (F.col("cpos") < pieces["_first"] + pieces["_size"])
-    place = (F.col("cpos") - F.col("_first")).cast("int")
-    others = [c for c in wanted.columns if c != "cpos"]
-    return wanted.join(pieces, inside).select("cpos", *others, *(F.get(c, place).alias(c) for c in df.columns if c != "cpos"))
+    return gather_packed(packed(df, width), wanted, width)
 
 
 def windows(df: DataFrame, spans: DataFrame, width: int = BIN) -> DataFrame:
     """Each span (window_id, start, end) with the rows of its positions: spans meet the bins they reach into, and what is common is exploded."""
-    pieces = packed(df, width).hint("shuffle_hash")
-    bins = F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}")))
-    cut = spans.where("start < end").select("window_id", "start", "end", bins.alias("bin"))
-    met = cut.join(pieces, (F.col("bin") == F.col("_bin")) & (F.col("start") < F.col("_first") + F.col("_size")) & (F.col("_first") < F.col("end")))
-    others = [c for c in df.columns if c != "cpos"]
-    low, high = F.greatest("start", "_first"), F.least("end", F.col("_first") + F.col("_size"))
-    sliced = [F.slice(c, (low - F.col("_first")).cast("int") + 1, (high - low).cast("int")).alias(c) for c in others]
-    places = F.sequence(low, high - 1).alias("cpos")
-    return met.select("window_id", F.inline(F.arrays_zip(places, *sliced))).select("cpos", "window_id", *others)
+    return windows_packed(packed(df, width), spans, width)
 
 
 def batched(df: DataFrame, n: int) -> DataFrame:

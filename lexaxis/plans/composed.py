@@ -101,7 +101,7 @@ def _keys(c):
 
 @query(f"select i, k.cpos, word from (select i, {_SCATTERED} as cpos from range((select count(*) from tok)) as r(i)) k join t0 using (cpos)")
 def access_random(c):
-    return positions.gather(c.table("tokens").select("cpos", "word"), _keys(c)).select("i", "cpos", "word")
+    return positions.gather_packed(c.words(), _keys(c)).select("i", "cpos", "word")
 
 
 _WINDOWS = 'select i as window_id, (i * 7919 + 13) % n as "start", least(n, (i * 7919 + 13) % n + 20 + (i * 31) % 30) as "end" from (select count(*) as n from tok), range((select count(*) // 35 from tok)) as r(i)'
@@ -115,14 +115,14 @@ def _windows(c):
 
 @query(f'select window_id, cpos, word from ({_WINDOWS}) w join tok on cpos >= w."start" and cpos < w."end"')
 def access_windows(c):
-    return positions.windows(c.table("tokens").select("cpos", "word"), _windows(c)).select("window_id", "cpos", "word")
+    return positions.windows_packed(c.words(), _windows(c)).select("window_id", "cpos", "word")
 
 
 @query(f'select window_id, first, last, words from (select window_id, min(cpos) as first, max(cpos) as last, string_agg(word, \' \' order by least(cpos - w."start", w."end" - 1 - cpos), cpos) as words from ({_WINDOWS}) w join tok on cpos >= w."start" and cpos < w."end" group by window_id)')
 def access_alternating(c):
     """The windows read from both ends towards the middle."""
     spans = _windows(c)
-    rows = positions.windows(c.table("tokens").select("cpos", "word"), spans).join(spans, "window_id")
+    rows = positions.windows_packed(c.words(), spans).join(spans, "window_id")
     inward = F.least(F.col("cpos") - F.col("start"), F.col("end") - 1 - F.col("cpos"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(inward.alias("d"), "cpos", "word"))), lambda x: x.word), " ")
     return rows.groupBy("window_id").agg(F.min("cpos").alias("first"), F.max("cpos").alias("last"), ordered.alias("words"))
@@ -132,7 +132,7 @@ def access_alternating(c):
 def access_local_jumps(c):
     n = c.size("tokens")
     heads = c.spark.range(n // 7).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, (-50, -10, -3, 0, 1, 7, 42)))).alias("d"), ((F.col("id") * 7919 + 13) % n).alias("head"))
-    return positions.gather(c.table("tokens").select("cpos", "word"), heads.select("i", "d", (F.col("head") + F.col("d")).alias("cpos"))).select("i", "d", "cpos", "word")
+    return positions.gather_packed(c.words(), heads.select("i", "d", (F.col("head") + F.col("d")).alias("cpos"))).select("i", "d", "cpos", "word")
 
 
 @query('select cpos // 35 as window_id, cpos, word from t0')
@@ -141,7 +141,7 @@ def access_windows_sequential(c):
     n = c.size("tokens")
     start = F.col("id") * 35
     spans = c.spark.range(-(-n // 35)).select(F.col("id").alias("window_id"), start.alias("start"), F.least(F.lit(n), start + 35).alias("end"))
-    return positions.windows(c.table("tokens").select("cpos", "word"), spans).select("window_id", "cpos", "word")
+    return positions.windows_packed(c.words(), spans).select("window_id", "cpos", "word")
 
 
 @query(f'select i, cpos, ln.seg_id from (select i, {_SCATTERED} as cpos from range((select count(*) from tok)) as r(i)) k join t0 using (cpos) join ln using (doc_id, line_no)')

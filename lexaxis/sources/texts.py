@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from lexaxis.operators import positions
 from lexaxis.operators.numbering import Blocks, in_order
 from lexaxis.sources.shared import row_numbers
 
@@ -89,7 +91,7 @@ def _id_type(texts: Blocks) -> str:
     return texts.df.schema["doc_id"].dataType.simpleString()
 
 
-def _mapped(texts: Blocks, counter: str, run: Callable, schema: str) -> DataFrame:
+def _mapped(texts: Blocks, counter: str, run: Callable, schema: str | StructType) -> DataFrame:
     """`run` over batches of (first, doc_id, text, start): `first` is the sum of `counter`, `start` of tokens, before the text."""
     placed = texts.placed({"first": counter, "start": "tokens"}).select("first", "doc_id", "text", "start")
     return placed.mapInArrow(run, schema)
@@ -112,6 +114,14 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, ["cpos", "word", "doc_id", "line_no", "pos_in_doc"])
 
 
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _slices(batch):
+            words, per_line, per_text = cut(_column(part, "text"))
+            per = _sums(per_line, per_text)
+            yield positions.pieces(np.repeat(_numbers(part, "start"), per) + _within(per), {"word": words})
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _slices(batch):
@@ -131,6 +141,11 @@ def tokens(texts: Blocks) -> DataFrame:
     return _mapped(texts, "lines", _token_rows, f"cpos long, word string, doc_id {_id_type(texts)}, line_no int, pos_in_doc int")
 
 
+def pieces(texts: Blocks) -> DataFrame:
+    """The words as positions.packed() has them, a row for some hundred of them."""
+    return _mapped(texts, "rows", _piece_rows, positions.pieces_schema([StructField("word", StringType())]))
+
+
 def lines(texts: Blocks) -> DataFrame:
     """(seg_id, start, end, doc_id, line_no) of every line that has a token, ascending in each block."""
     return _mapped(texts, "lines", _line_rows, f"seg_id long, start long, end long, doc_id {_id_type(texts)}, line_no int")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexaxis.operators import lexicon
+from lexaxis.operators import lexicon, positions
 from lexaxis.sources import axis, texts
 from lexaxis.sources.corpus import Encoding
 
@@ -99,3 +99,14 @@ def test_chunks_hold_positions_that_follow_each_other(monkeypatch, chunk):
             freq, first = counts.get(r["word"], (0, 1 << 40))
             counts[r["word"]] = (freq + r["freq"], min(first, r["first_cpos"]))
     assert counts == {"a": (3, 0), "b": (4, 1), "c": (1, 3), "d": (1, 100), "e": (1, 102)}
+
+
+def test_words_are_gathered_from_the_texts(spark, made):
+    tokens = made.table("tokens")
+    asked = tokens.select("cpos", (F.col("cpos") * 3).alias("i")).where("cpos % 2 = 0")
+    spans = tokens.select(F.col("cpos").alias("window_id"), F.col("cpos").alias("start"), (F.col("cpos") + 3).alias("end")).where("cpos % 5 = 0")
+    for words in (made.words(), positions.packed(tokens.select("cpos", "word"))):
+        assert sorted(map(tuple, positions.gather_packed(words, asked).collect())) == sorted(map(tuple, asked.join(tokens, "cpos").select("cpos", "i", "word").collect()))
+        found = positions.windows_packed(words, spans).join(tokens.select("cpos", F.col("word").alias("want")), "cpos").collect()
+        assert all(r.word == r.want for r in found) and len(found) == spans.count() * 3 - max(0, (spans.agg(F.max("start")).first()[0] + 3) - made.size("tokens"))
+    assert made.words().count() < made.size("tokens") / 10
