@@ -7,9 +7,11 @@ in blocks against all shards. For a query the terms are ordered by the greatest
 score that each can give in the shard; those whose bounds together stay below the
 k-th best score so far are non-essential. Only the others' postings are
 traversed; the rest are probed for the documents found, as long as these can
-still compete. Terms that many queries of a batch share and many documents hold
-are scored for the whole batch by one product of matrices, in whole numbers that
-float64 holds exactly; such a query's other lists are all added. A few shards
+still compete. So a query of few; of a batch of queries those whose bounds together
+stay below their k-th best leave the shard at once. Terms that many of the others
+share and many documents hold are scored for the whole batch by one product of
+matrices, in whole numbers that float64 holds exactly; their other lists are all
+added, those of many queries at once. A few shards
 are searched first: their k-th best scores are where the search of all others
 begins, so that a shard sends only what can still be among the best. The shards'
 best are merged at the end.
@@ -35,8 +37,8 @@ SHARD_BYTES = 32 << 20
 #: Bytes of text that are tokenised at once.
 SLICE_BYTES = 4 << 20
 #: Queries, and bytes of their text, of one pass over the index; more are further passes. Bounds what is broadcast; a longer query is a block by itself.
-BLOCK_QUERIES = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_QUERIES = 6000
+BLOCK_BYTES = 24 << 20
 #: Non-essential lists that are probed between two looks at which documents can still compete, and the postings of one that are added rather than searched.
 GROUP = 16
 DENSE = 2000
@@ -45,7 +47,9 @@ BATCH = 128
 GAIN = 64
 SHARED = 1 << 22
 #: Postings that are fetched at once, unless a single list has more.
-FETCH = 1 << 18
+FETCH = 1 << 16
+#: Queries of a batch that are searched one by one rather than together.
+FEW = 4
 SCALE = 1_000_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c"
@@ -161,17 +165,6 @@ class Shard:
         docs = np.concatenate([self.doc[s:e] for s, e, _ in places])
         return np.bincount(docs, np.concatenate([self.impact[s:e] if n == 1 else self.impact[s:e] * n for s, e, n in places]), self.size)
 
-    def _fetched(self, start: np.ndarray, end: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """The same for many lists, whose postings are fetched by position, so many at once."""
-        size = end - start
-        stop = np.cumsum(size)
-        if len(size) > 1 and stop[-1] > FETCH:
-            half = len(size) // 2
-            return self._fetched(start[:half], end[:half], times[:half]) + self._fetched(start[half:], end[half:], times[half:])
-        at = np.repeat(start - stop + size, size)
-        at += np.arange(len(at))
-        return np.bincount(self.doc[at], self.impact[at] * np.repeat(times, size), self.size)
-
     def shared(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """(terms that are cheaper scored for all these queries at once, what they give: queries x documents)."""
         each = np.concatenate([terms for terms, _ in queries])
@@ -219,7 +212,8 @@ class Shard:
 
     def finish(self, begun: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int, ids: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """search() for a query whose other terms give every document what `begun` says; all lists of `terms` are added."""
-        score = begun + self._fetched(self.start[terms], self.end[terms], times)
+        score = begun.copy()
+        self._add(score[None], np.zeros(len(terms), np.int64), self.start[terms], self.end[terms], times)
         return self._best(score, np.flatnonzero(score >= max(floor, 1.0)), k, ids)
 
     @staticmethod
@@ -232,6 +226,53 @@ class Shard:
         return found[top], scores[top]
 
 
+    def bounds(self, terms: np.ndarray, times: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """What each of several queries, terms[cut[i] : cut[i + 1]], can give a document at most."""
+        return np.diff(np.r_[0.0, np.cumsum(self.top[terms] * times)][cut])
+
+    def batch(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, ids: np.ndarray, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, documents, scores) of each query that has any here: search() for all at once."""
+        cut = np.cumsum([0, *(len(t) for t, _ in queries)])
+        terms, times = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        able = np.flatnonzero(self.bounds(terms, times, cut) >= np.maximum(floors, 1.0))  # the others' lists, all together, stay below the k-th best
+        if len(able) <= FEW:
+            for q in able.tolist():
+                found, scores = self.search(*queries[q], k, ids, floors[q])
+                if len(found):
+                    yield q, found, scores
+            return
+        if len(able) < len(queries):
+            of = np.repeat(np.arange(len(queries)), np.diff(cut))
+            some = np.isin(of, able)
+            terms, times, cut = terms[some], times[some], np.cumsum([0, *np.diff(cut)[able]])
+        shared, score = self.shared([queries[q] for q in able.tolist()])
+        rest = self.end[terms] > self.start[terms]
+        if len(shared):
+            rest &= shared[np.minimum(np.searchsorted(shared, terms), len(shared) - 1)] != terms
+        else:
+            score = np.zeros((len(able), self.size))
+        row = np.repeat(np.arange(len(able)), np.diff(cut))[rest]
+        self._add(score, row, self.start[terms[rest]], self.end[terms[rest]], times[rest])
+        hits = score >= np.maximum(floors[able], 1.0)[:, None]
+        for i in np.flatnonzero(hits.any(axis=1)).tolist():
+            yield int(able[i]), *self._best(score[i], np.flatnonzero(hits[i]), k, ids)
+
+    def _add(self, score: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, times: np.ndarray) -> None:
+        """Adds lists of postings, each so many times, to rows of `score`, which ascend; FETCH postings at once, or a single list."""
+        size = end - start
+        upto = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + FETCH, side="right")))
+            n, first, last = size[at:stop], int(row[at]), int(row[stop - 1]) + 1
+            place = np.repeat(start[at:stop] - np.cumsum(n) + n, n)
+            place += np.arange(len(place))
+            to = np.repeat((row[at:stop] - first) * self.size, n)
+            to += self.doc[place]
+            score[first:last] += np.bincount(to, self.impact[place] * np.repeat(times[at:stop], n), (last - first) * self.size).reshape(last - first, self.size)
+            at = stop
+
+
 def _names(row: dict) -> pa.Array:
     ends = pa.py_buffer(row["ends"])
     return pa.LargeStringArray.from_buffers(len(row["ends"]) // 8 - 1, ends, pa.py_buffer(row["names"]))
@@ -276,15 +317,9 @@ def _search(block, mean: float, k: int):
                 order[np.lexsort((rid, doc_id))] = np.arange(len(rid))
                 docs, scores, of = [], [], []
                 for start in range(0, len(turn), BATCH):
-                    batch_turn = turn[start : start + BATCH]
-                    shared, given = shard.shared([queries[q] for q in batch_turn])
-                    for q, begun in zip(batch_turn, given, strict=True):
-                        terms, times = queries[q]
-                        if len(shared):
-                            rest = shared[np.minimum(np.searchsorted(shared, terms), len(shared) - 1)] != terms
-                            d, s = shard.finish(begun, terms[rest], times[rest], k, order, floors[q])
-                        else:
-                            d, s = shard.search(terms, times, k, order, floors[q])
+                    asked = turn[start : start + BATCH]
+                    for i, d, s in shard.batch([queries[q] for q in asked], k, order, floors[asked]):
+                        q = asked[i]
                         docs.append(d)
                         scores.append(s)
                         of.append(np.full(len(d), q))
@@ -311,10 +346,9 @@ def _block(index: DataFrame, seeds: int, shards: int, n: int, mean: float, items
     if not len(vocabulary):
         return
     sent = spark.sparkContext.broadcast(vocabulary.cast(pa.large_string()))
-    sums = index.select("names", "ends", "starts").mapInArrow(_statistics(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the block's terms
+    sums = index.select("names", "ends", "starts").mapInArrow(_statistics(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the block's terms
     df = np.zeros(len(vocabulary))
-    for r in sums:
-        df[r.term] = r.n
+    df[sums["term"].to_numpy()] = sums["n"].to_numpy()
     idf = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
     by_query = np.argsort(of, kind="stable")
     cut = np.searchsorted(of[by_query], np.arange(len(texts) + 1))

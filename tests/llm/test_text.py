@@ -351,6 +351,37 @@ def test_terms_that_queries_share_are_scored_at_once(monkeypatch, gain, entries)
                 assert found.tolist() == plain.tolist() and scores.tolist() == best.tolist()
 
 
+@pytest.mark.parametrize(("gain", "few", "fetch"), [(64, 0, 300), (10**9, 0, 1 << 18), (0, 4, 1), (64, 100, 300)])
+def test_a_batch_is_searched_as_its_queries_are(monkeypatch, gain, few, fetch):
+    monkeypatch.setattr(topk, "GAIN", gain)
+    monkeypatch.setattr(topk, "FEW", few)
+    monkeypatch.setattr(topk, "FETCH", fetch)
+    source = np.random.default_rng(7)
+    n, vocab = 300, 90
+    of = np.arange(n) % 3  # three languages of 30 terms, with three terms in common
+    docs = np.repeat(np.arange(n), 15)
+    words = (source.zipf(1.4, len(docs)) - 1) % 30
+    key, times = np.unique(np.where(words < 27, words * 3 + of[docs], words * 3) * n + docs, return_counts=True)
+    cut, terms = np.searchsorted(key // n, np.arange(vocab + 1)), np.where(np.arange(vocab) % 10 == 9, -1, np.arange(vocab))
+    lengths, idf = np.bincount(key % n, times, n), source.random(vocab) * 5
+    whole = topk.Shard(key % n, times, cut, terms, lengths, idf, lengths.mean())
+    rank = source.permutation(n)
+    queries = [(x[x % 10 != 9], source.integers(1, 3, (x % 10 != 9).sum())) for x in (np.unique(source.integers(0, vocab, 12)) for _ in range(40))]
+    for k in (1, 5, 300):
+        plain = [whole.search(t, x, k, rank) for t, x in queries]
+        for floors in (np.zeros(40), np.array([s[-1] if len(s) else 0.0 for _, s in plain])):
+            found = {q: (d.tolist(), s.tolist()) for q, d, s in whole.batch(queries, k, rank, floors)}
+            assert [found.get(q, ([], [])) for q in range(40)] == [(d.tolist(), s.tolist()) for d, s in plain]
+
+
+def test_a_batch_leaves_a_shard_that_can_give_too_little(monkeypatch):
+    doc, starts = np.array([0, 1, 2, 3]), np.array([0, 2, 4])
+    shard = topk.Shard(doc, np.ones(4), starts, np.arange(2), np.ones(4), np.ones(2), 1.0)
+    monkeypatch.setattr(topk.Shard, "shared", lambda *_: pytest.fail("the shard was searched"))
+    monkeypatch.setattr(topk.Shard, "search", lambda *_: pytest.fail("the shard was searched"))
+    assert list(shard.batch([(np.array([0, 1]), np.array([1, 1]))] * 9, 2, np.arange(4), np.full(9, 1e9))) == []
+
+
 def test_search_of_hard_rows(spark, nasty, empty):
     queries = spark.createDataFrame([(1, "eins drei!"), (1, "eins drei!"), (2, None), (3, ""), (None, "nummer"), (4, "nichtda")], "item_id long, text string")
     found = topk.search(nasty, queries, 2).collect()
