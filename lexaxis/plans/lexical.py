@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lexaxis.functions import codec
 from lexaxis.operators import lexicon, positions, postings
 from lexaxis.plans.registry import query
-from lexaxis.sources import axis, corpus
-from lexaxis.sources.shared import settled
+from lexaxis.sources import corpus
+from lexaxis.sources.shared import scratch
 
 WORD, IDS = "the", [5, 17, 3, 5, 100]
 _LEX = ["id", "str", "freq"]
@@ -55,22 +55,24 @@ def check_variable_length(c):
     return n.crossJoin(c.table("doc_tags").agg(F.count("*").alias("n_variable"))).select(F.lit("seg_doc").alias("layer"), "n", "n_variable", (F.col("n") == F.col("n_variable")).alias("fits"))
 
 
+def _anew(spark, sf_dir):
+    """A corpus of its own, so that a table is made from the documents whatever queries came before."""
+    return corpus.Encoding(spark, sf_dir, scratch(spark, "build"))
+
+
 @query("select id, str, freq, first_cpos from lex", plain=True)
 def build_lexicon(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return axis.type_table(axis.tokens(docs, settled(axis.document_spans(docs))))
+    return _anew(spark, sf_dir).table("lexicon")
 
 
 @query("select cpos, word_id from tok", plain=True)
 def build_id_stream(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = settled(axis.tokens(docs, axis.document_spans(docs)).select("cpos", "word"))
-    return axis.with_ids(words, axis.type_table(words)).select("cpos", "word_id")
+    return _anew(spark, sf_dir).table("ids")
 
 
 @query('select seg_id, "start", "end", doc_id from seg', plain=True)
 def build_segmentation(spark, sf_dir):
-    return axis.document_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("seg_id", "start", "end", "doc_id")
+    return _anew(spark, sf_dir).table("seg_doc").select("seg_id", "start", "end", "doc_id")
 
 
 @query(f"select word_id, cpos // {postings.INDEX_BLOCK} as block, count(*) as n, string_agg(cpos, ',' order by cpos) as cpos_list from tok group by word_id, block")
